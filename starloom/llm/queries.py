@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from starloom.llm.common import read_table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.line_dedup import line_dedup
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs, removed="n_removed")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.toxicity import toxicity
+
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.llm.near_dedup import near_duplicates
 
@@ -19,5 +32,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+LINE_DEDUP_SQL = r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+line AS (SELECT doc_id, i, l[i] AS line, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS w, len(l) AS n
+         FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)),
+later AS (SELECT doc_id, i FROM (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS LAST, i) AS r
+            FROM line WHERE i <= n - 2 AND regexp_matches(w, '[^\x20\x09-\x0D]')) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (SELECT unnest(range(0, 3)) AS k)),
+kept AS (SELECT line.doc_id, string_agg(CASE WHEN gone.i IS NULL THEN line END, chr(10) ORDER BY line.i) AS text, count(gone.i) AS n_removed
+         FROM line LEFT JOIN gone ON gone.doc_id = line.doc_id AND gone.i = line.i GROUP BY line.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(kept.n_removed, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": LINE_DEDUP_SQL}
