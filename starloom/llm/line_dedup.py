@@ -42,7 +42,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return out
 
     starts = F.transform(F.sequence(F.lit(0), F.size("a") - window), lambda i: F.struct(i.alias("pos"), F.xxhash64(*at("a", i)).alias("k1"), F.xxhash64(*at("b", i)).alias("k2"), some(i).alias("ok")))
-    places = own.select("id", "th", F.explode(starts).alias("s")).filter("s.ok").select("id", "th", "s.pos", "s.k1", "s.k2")
+    places = own.select("id", "th", F.explode_outer(starts).alias("s")).filter("s.ok").select("id", "th", "s.pos", "s.k1", "s.k2")
     place = F.struct(F.col("id").isNull().alias("n"), "id", "th", "pos")
     first = places.groupBy("k1", "k2").agg(F.count("*").alias("m"), F.min(place).alias("first")).filter("m > 1")
     later = places.join(first, ["k1", "k2"]).filter(F.col("first") != place)

@@ -176,8 +176,8 @@ def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
     return docs.select("node", text).mapInArrow(run, "node bigint, members array<bigint>")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, digest: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept; with ``digest``, also the text's MD5 by that name.
 
     Documents are linked when ``100 * intersection >= percent * union`` of their
     distinct ``width``-word shingles; confirmed on full sets. component_id is the
@@ -220,8 +220,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = classes.join(group, "node", "left").select("cls", "least_id", F.coalesce("root", "node").alias("root"))
     least = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
     ids = ws.save(ids.join(least, "root").select("cls", "component_id"), "ids")
-    placed = rows.select("id", "n_shingles", "cls").join(ids, "cls", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    out = ws.save(placed.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "out")
+    placed = rows.select("id", "n_shingles", "cls", "text_digest").join(ids, "cls", "left").select("id", "n_shingles", "text_digest", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = ws.save(placed.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *([F.col("text_digest").alias(digest)] if digest else [])), "out")
     ws.keep("out")
     return out
 

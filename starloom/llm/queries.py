@@ -16,6 +16,20 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs, removed="n_removed")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.mixing import mix_sources
+
+    mixed = mix_sources(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.decontaminate import contained_items
+
+    found = contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_found")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.llm.toxicity import toxicity
 
@@ -47,5 +61,16 @@ FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
 
+DECONTAMINATION_SQL = r"""
+WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+bs AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)),
+n AS (SELECT id, count(*) AS n FROM bs GROUP BY id),
+m AS (SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS f FROM ds JOIN bs USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_shingles, f AS n_found FROM m JOIN n ON n.id = m.item_id WHERE 100 * f >= 80 * n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL}
+    return {"op6_decontamination": DECONTAMINATION_SQL, "op1_line_dedup": LINE_DEDUP_SQL}
