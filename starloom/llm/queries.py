@@ -30,6 +30,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shingles", "n_found")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.ann import nearest
+
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.llm.toxicity import toxicity
 
