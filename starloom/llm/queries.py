@@ -23,6 +23,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.warc import round_trip
+
+    records = round_trip(read_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.llm.decontaminate import contained_items
 
@@ -79,5 +86,15 @@ SELECT doc_id, item_id, n AS n_shingles, f AS n_found FROM m JOIN n ON n.id = m.
 """
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN g.last IS NULL OR g.last = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN g.last <> p.page_id THEN g.last END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": DECONTAMINATION_SQL, "op1_line_dedup": LINE_DEDUP_SQL}
+    return {"op4_warc": WARC_SQL, "op6_decontamination": DECONTAMINATION_SQL, "op1_line_dedup": LINE_DEDUP_SQL}
