@@ -37,6 +37,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shingles", "n_found")
 
 
+def op7_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.html_content import extract
+
+    return extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.llm.ann import nearest
 
