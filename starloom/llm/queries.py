@@ -16,6 +16,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs, removed="n_removed")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.licences import scan
+
+    return scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.llm.mixing import mix_sources
 
@@ -30,6 +36,27 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: The tables hold neither fetch times nor lists, so the query makes both by rule: a page is
+#: fetched on a day of 2024 drawn from its id; every list entry's dates are drawn from its key.
+URL_LISTS = """
+SELECT 'hosts' AS list, '||' || host AS key, 'deny' AS verdict, action, make_date(2024, 1, 1) + cast(pmod(crc32(encode(host, 'utf-8')) + n * 45, 366) AS int) AS at
+FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages WHERE url IS NOT NULL),
+     (VALUES (0, 'add'), (3, 'remove'), (4, 'add')) AS v(n, action) WHERE crc32(encode(host, 'utf-8')) % 3 = 0
+UNION ALL SELECT * FROM VALUES
+  ('topics', '||casino-win.example.com', 'deny', 'add', DATE '2024-02-01'), ('topics', '||casino-win.example.com', 'deny', 'remove', DATE '2024-08-01'),
+  ('topics', '||cheap-pills.example.com', 'deny', 'add', DATE '2024-04-01'), ('topics', '||free-bets.example.com', 'deny', 'add', DATE '2023-01-01'),
+  ('regions', '||example.net', 'deny', 'add', DATE '2024-06-01'), ('regions', '||example.net', 'deny', 'remove', DATE '2024-07-15'),
+  ('regions', '||www.thering.example.org', 'allow', 'add', DATE '2024-01-15')
+"""
+
+
+def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.llm.url_lists import judge
+
+    pages = read_table(spark, sf_dir, "pages").selectExpr("page_id", "url", "date_add(make_date(2024, 1, 1), cast(pmod(page_id * 7919, 366) AS int)) AS fetched_at")
+    return judge(pages, spark.sql(URL_LISTS.replace("FROM pages", "FROM {pages}"), pages=pages))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.llm.decontaminate import contained_items
 
@@ -103,4 +130,6 @@ FROM p LEFT JOIN g USING (payload_digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL, "op6_decontamination": DECONTAMINATION_SQL, "op1_line_dedup": LINE_DEDUP_SQL}
+    from starloom.llm import licences
+
+    return {"op2_licences": licences.oracle(), "op4_warc": WARC_SQL, "op6_decontamination": DECONTAMINATION_SQL, "op1_line_dedup": LINE_DEDUP_SQL}
