@@ -213,19 +213,21 @@ def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- codecs' relational parts -------------------------------------------------------------
 
-_ROW = W.partitionBy("image").orderBy("y", "x")
+
+def _in_order():
+    return W.partitionBy("image").orderBy("y", "x")
 
 
 @_query(f"WITH {_WHOLE}, d AS (SELECT image, y, x, v - lag(v, 1, 0) OVER (PARTITION BY image ORDER BY y, x) AS d FROM q) SELECT image, y, x, CASE WHEN d < 0 THEN -2 * d - 1 ELSE 2 * d END AS code FROM d")
 def lag_diff_zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _whole(_samples(spark, sf_dir)).withColumn("d", F.col("v") - F.lag("v", 1, 0).over(_ROW))
+    rows = _whole(_samples(spark, sf_dir)).withColumn("d", F.col("v") - F.lag("v", 1, 0).over(_in_order()))
     return rows.select("image", "y", "x", F.when(F.col("d") < 0, -2 * F.col("d") - 1).otherwise(2 * F.col("d")).alias("code"))
 
 
 @_query(f"WITH {_WHOLE} SELECT image, y, x, v FROM q")
 def prefix_sum_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _whole(_samples(spark, sf_dir)).withColumn("d", F.col("v") - F.lag("v", 1, 0).over(_ROW))
-    return rows.select("image", "y", "x", F.sum("d").over(_ROW.rowsBetween(W.unboundedPreceding, 0)).alias("v"))
+    rows = _whole(_samples(spark, sf_dir)).withColumn("d", F.col("v") - F.lag("v", 1, 0).over(_in_order()))
+    return rows.select("image", "y", "x", F.sum("d").over(_in_order().rowsBetween(W.unboundedPreceding, 0)).alias("v"))
 
 
 @_query("SELECT o_orderkey, (k % 4) * 4 + k // 4 AS place, substr(o_orderpriority || '                ', k + 1, 1) AS byte FROM (SELECT *, unnest(range(0, 16)) AS k FROM orders)")
