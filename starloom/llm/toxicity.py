@@ -10,6 +10,7 @@ threshold calibrated on documents the dictionaries were not made from.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,14 +46,11 @@ def _grams(word: bytes) -> set[bytes]:
 
 
 def _gram_frequencies(docs: list[list[bytes]]) -> Counter:
-    known: dict[bytes, set[bytes]] = {}
     out: Counter = Counter()
     for words in docs:
         seen: set[bytes] = set()
         for w in set(words):
-            if w not in known:
-                known[w] = _grams(w)
-            seen |= known[w]
+            seen |= _grams(w)
         out.update(seen)
     return out
 
@@ -152,14 +150,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[bytes | None], ordinary: list[bytes | None], share: float | None = None) -> Model:
-    """A model of two samples; ``share`` is the part of toxic rows among all labelled ones.
+def fit(t: list[list[bytes]], o: list[list[bytes]], share: float | None = None) -> Model:
+    """A model of two samples of documents' words; ``share`` is the part of toxic rows among all labelled ones.
 
     Half of either sample makes dictionaries that measure the other half, and
     the reverse, so thresholds are calibrated on words not yet seen; the final
     dictionaries are made from all. With either sample empty every score is 0.
     """
-    t, o = [_words(x) for x in toxic], [_words(x) for x in ordinary]
     if not t or not o:
         return Model(b" ", b" ", b" ", np.r_[-30.0, np.zeros(2 * TOP + 2)], np.zeros(2 * TOP + 2), np.ones(2 * TOP + 2))
     xs, ys = [], []
@@ -188,11 +185,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = [F.xxhash64("id", F.lit("toxicity")), "id"]
     picked = known.filter("y = 1").orderBy(*order).limit(rows).union(known.filter("y = 0").orderBy(*order).limit(rows))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).filter("text is not null")
-    found = own.join(F.broadcast(picked), "id").collect()  # bounded by 2 * rows
-    found.sort(key=lambda r: (r["id"], bytes(r["text"])))
+    found = own.join(F.broadcast(picked), "id").repartition(1)  # bounded by 2 * rows
     total = sum(count.values())
     share = min(max(count.get(1, 0) / total, 1e-3), 1 - 1e-3) if total else None
-    return fit([bytes(r["text"]) for r in found if r["y"] == 1], [bytes(r["text"]) for r in found if r["y"] == 0], share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}  # one object a word keeps the sample small
+        seen = []
+        for batch in batches:
+            for i, text, y in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("id", "text", "y")), strict=True):
+                seen.append((i.as_py(), y.as_py(), [known.setdefault(w, w) for w in _words(text.as_py())]))
+        seen.sort(key=lambda r: (r[0], r[2]))
+        model = fit([w for _, y, w in seen if y == 1], [w for _, y, w in seen if y == 0], share)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # A task trains, so the driver holds no text; what comes back is two dictionaries and some weights.
+    made = found.mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([], [], None)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
