@@ -43,11 +43,10 @@ def shingles(w: F.Column, width: int) -> F.Column:
 def _hashes(w: F.Column, width: int) -> F.Column:
     """64-bit hashes of ``shingles`` without making their texts."""
     n = F.size(w) - width + 1
-    return (
-        F.when(F.size(w) == 0, F.array().cast("array<bigint>"))
-        .when(n < 1, F.array(F.xxhash64(F.array_join(w, " "))))
-        .otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(width)))))
-    )
+    out = F.when(F.size(w) == 0, F.array().cast("array<bigint>"))
+    for few in range(1, width):  # as a shingle of that width would be hashed
+        out = out.when(F.size(w) == few, F.array(F.xxhash64(*(F.get(w, F.lit(k)) for k in range(few)))))
+    return out.otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(width)))))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
