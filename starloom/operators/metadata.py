@@ -91,3 +91,86 @@ def entry_digest(entries: DataFrame, key: str, name: str, value: str, head: Colu
     """SHA-1 over a head line and the sorted ``NAME=value`` lines of a key."""
     lines = entries.groupBy(key).agg(F.sort_array(F.collect_list(F.concat(F.upper(F.trim(name)), F.lit("="), F.trim(value)))).alias("l"))
     return lines.select(key, F.sha1(F.concat(head, F.lit("\n"), F.array_join("l", "\n"), F.lit("\n")).cast("binary")).alias("digest"))
+
+
+def keyword_kind(value: Column) -> Column:
+    """What a card's value text is: text, logical, integer, real, complex or raw."""
+    v = F.trim(value)
+    real = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([EeDd][+-]?[0-9]+)?"
+    return (
+        F.when(v.startswith("'"), "text")
+        .when(v.isin("T", "F"), "logical")
+        .when(v.rlike(r"^[+-]?[0-9]+$"), "integer")
+        .when(v.rlike(f"^{real}$"), "real")
+        .when(v.rlike(rf"^\(\s*{real}\s*,\s*{real}\s*\)$"), "complex")
+        .otherwise("raw")
+    )
+
+
+def keyword_number(value: Column) -> Column:
+    """The number of a card's value text, a D exponent read as E; null if it is none."""
+    return F.when(keyword_kind(value).isin("integer", "real"), F.translate(F.trim(value), "Dd", "EE").try_cast("double"))
+
+
+#: Least and greatest value of each integer property type.
+INTEGERS = {f"{u}Int{b}": (0, 2**b - 1) if u else (-(2 ** (b - 1)), 2 ** (b - 1) - 1) for b in (8, 16, 32, 64) for u in ("", "U")}
+
+
+def property_problem(kind: Column, text: Column) -> Column:
+    """Why a scalar property's text is not of its type; null if it is."""
+    t, out = F.trim(text), None
+    number = t.rlike(r"^[+-]?[0-9]+$")
+    for name, (low, high) in INTEGERS.items():
+        whole = F.when(F.length(t) <= 30, t).try_cast("decimal(38,0)")
+        bad = F.when(~number, "not an integer").when(whole.isNull() | ~whole.between(F.lit(str(low)).cast("decimal(38,0)"), F.lit(str(high)).cast("decimal(38,0)")), "out of range")
+        out = F.when(kind == name, bad) if out is None else out.when(kind == name, bad)
+    out = out.when(kind == "Boolean", F.when(~t.isin("true", "false"), "neither true nor false"))
+    real = t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([Ee][+-]?[0-9]+)?$")
+    size = F.abs(t.try_cast("double"))
+    out = out.when(kind.isin("Float32", "Float64"), F.when(~real, "not a number").when((size == float("inf")) | ((kind == "Float32") & (size >= 3.4028235677973366e38)), "out of range"))
+    return out.when(kind == "String", F.lit(None)).otherwise("unknown type")
+
+
+def within_budget(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
+    """(key, kept): places of the items that fit, in order; an item that does not fit is passed over and uses nothing up."""
+    listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("s")))).alias("l"))
+    none = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(listed.schema["l"].dataType.elementType["o"].dataType.simpleString().join(("array<", ">"))).alias("kept"))
+    fold = F.aggregate("l", none, lambda a, x: F.when(a["used"] + x["s"] <= budget, F.struct((a["used"] + x["s"]).alias("used"), F.concat(a["kept"], F.array(x["o"])).alias("kept"))).otherwise(a), lambda a: a["kept"])
+    return listed.select(key, fold.alias("kept"))
+
+
+def flip_pattern(pattern: Column, width: int, height: int, image_height: Column) -> Column:
+    """A colour filter pattern as seen from the other end of the image's rows."""
+    rows = [F.substring(pattern, F.pmod(F.pmod(image_height - 1, F.lit(height)) + height - j, F.lit(height)).cast("int") * width + 1, F.lit(width)) for j in range(height)]
+    return F.concat(*rows)
+
+
+def flip_wcs(cards: DataFrame, key: str, height: Column) -> DataFrame:
+    """``cards(key, name, value)`` of a linear solution for rows in the other order.
+
+    The reference row is counted from the other end; the second column of the CD
+    or PC matrix, or where there is neither CDELT2, changes sign in its text.
+    """
+    base = F.regexp_replace("name", "[A-Z]$", "")
+    alternate = F.regexp_extract("name", "([A-Z])$", 1)
+    matrix = F.col("name").rlike("^(CD|PC)[12]_[12][A-Z]?$")
+    has = cards.filter(matrix).groupBy(key, alternate.alias("_alt")).agg(F.lit(True).alias("_has"))
+    rows = cards.withColumn("_alt", alternate).join(has, [key, "_alt"], "left")
+    negated = F.when(F.trim("value").startswith("-"), F.substring(F.trim("value"), 2, 100)).otherwise(F.concat(F.lit("-"), F.regexp_replace(F.trim("value"), r"^\+", "")))
+    turned = F.when(F.col("name").rlike("^(CD|PC)[12]_2[A-Z]?$") | ((base == "CDELT2") & F.col("_has").isNull()), negated)
+    number = (height + 1 - F.col("value").try_cast("double")).cast("decimal(18,3)").cast("string")
+    return rows.select(key, "name", F.when(base == "CRPIX2", number).otherwise(F.coalesce(turned, F.col("value"))).alias("value"))
+
+
+def unique_identifiers(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """(key, order, id) with ids made different in order: x, x_2, x_3, whichever is not taken yet."""
+    listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n")))).alias("l"))
+    kind = listed.schema["l"].dataType.elementType["o"].dataType.simpleString()
+    none = F.array().cast(f"array<struct<o:{kind},id:string>>")
+
+    def free(taken: Column, n: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda i: F.when(i == 1, n).otherwise(F.concat(n, F.lit("_"), i.cast("string"))))
+        return F.get(F.filter(tries, lambda t: ~F.array_contains(F.transform(taken, lambda x: x["id"]), t)), F.lit(0))
+
+    made = F.aggregate("l", none, lambda a, x: F.concat(a, F.array(F.struct(x["o"].alias("o"), free(a, x["n"]).alias("id")))))
+    return listed.select(key, F.inline(made)).withColumnRenamed("o", order)

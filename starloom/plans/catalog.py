@@ -429,3 +429,49 @@ def property_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = im.bands(_whole(_samples(spark, sf_dir)), "image")
     return rows.select("image", "y", F.aggregate("values", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"))
+
+
+_CARD_VALUES = ["'text'", "T", "12", "-3.5D2", "(1.0, 2)", "1 2"]
+
+
+@_query("SELECT p_partkey, [%s][CAST(p_partkey %% 6 AS INT) + 1] AS kind, CASE p_partkey %% 6 WHEN 2 THEN 12e0 WHEN 3 THEN -350e0 ELSE 0e0 END AS number FROM part" % ", ".join(f"'{k}'" for k in ("text", "logical", "integer", "real", "complex", "raw")))
+def keyword_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.element_at(F.array(*map(F.lit, _CARD_VALUES)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "part").select("p_partkey", value.alias("v"))
+    return rows.select("p_partkey", md.keyword_kind(F.col("v")).alias("kind"), F.coalesce(md.keyword_number(F.col("v")), F.lit(0.0)).alias("number"))
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_custkey * 7 > 255 THEN 'out of range' ELSE 'fine' END AS uint8, CASE WHEN o_custkey * 7 > 32767 THEN 'out of range' ELSE 'fine' END AS int16, 'neither true nor false' AS flag FROM orders")
+def property_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = (F.col("o_custkey") * 7).cast("string")
+    problem = lambda kind: F.coalesce(md.property_problem(F.lit(kind), text), F.lit("fine"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", problem("UInt8").alias("uint8"), problem("Int16").alias("int16"), problem("Boolean").alias("flag"))
+
+
+@_query("""WITH RECURSIVE i AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part),
+f AS (SELECT p_brand, p_partkey, r, CASE WHEN p_size <= 500 THEN p_size ELSE 0 END AS used, p_size <= 500 AS kept FROM i WHERE r = 1
+UNION ALL SELECT i.p_brand, i.p_partkey, i.r, f.used + CASE WHEN f.used + i.p_size <= 500 THEN i.p_size ELSE 0 END, f.used + i.p_size <= 500 FROM f JOIN i ON i.p_brand = f.p_brand AND i.r = f.r + 1)
+SELECT p_brand, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS total FROM f WHERE kept GROUP BY p_brand""")
+def memory_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = md.within_budget(_table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_size", 500)
+    return kept.select("p_brand", F.size("kept").cast("bigint").alias("n"), F.aggregate("kept", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@_query("SELECT vec_id, CASE WHEN vec_id % 2 = 1 THEN 'RGGB' ELSE 'GBRG' END AS pattern FROM embeddings")
+def pattern_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("vec_id", md.flip_pattern(F.lit("RGGB"), 2, 2, F.col("vec_id")).alias("pattern"))
+
+
+@_query("""SELECT c_custkey, name, CASE name WHEN 'CRPIX2' THEN CAST(CAST(101 - c_custkey % 50 AS DECIMAL(18,3)) AS VARCHAR) WHEN 'CD1_2' THEN '-' || c_nationkey WHEN 'CD2_2' THEN CAST(c_nationkey AS VARCHAR) ELSE '1' END AS value
+FROM customer, (VALUES ('CRPIX2'), ('CD1_2'), ('CD2_2'), ('CDELT2')) AS t(name)""")
+def wcs_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, nation = _table(spark, sf_dir, "customer"), F.col("c_nationkey").cast("string")
+    made = [("CRPIX2", (F.col("c_custkey") % 50).cast("string")), ("CD1_2", nation), ("CD2_2", F.concat(F.lit("-"), nation)), ("CDELT2", F.lit("1"))]
+    cards = c.select("c_custkey", F.inline(F.array(*(F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in made))))
+    return md.flip_wcs(cards, "c_custkey", F.lit(100))
+
+
+@_query("SELECT c_custkey, c_mktsegment, 'x' || CASE WHEN r = 1 THEN '' ELSE '_' || r END AS id FROM (SELECT c_custkey, c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS r FROM customer)")
+def unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("g"), F.lit("x").alias("name"))
+    return md.unique_identifiers(rows, "g", "c_custkey", "name").select("c_custkey", F.split("g", "/")[0].alias("c_mktsegment"), "id")

@@ -138,3 +138,21 @@ def test_rice_undoes_itself(bits, values):
 def test_wrong_size_is_an_error():
     with pytest.raises(ValueError):
         codecs.decompress(codecs.compress(b"abcd", "zlib"), "zlib", 3)
+
+
+def test_ids_already_taken_are_passed_over(spark):
+    rows = spark.createDataFrame([("f", 1, "x"), ("f", 2, "x_2"), ("f", 3, "x"), ("f", 4, "x")], "file string, pos int, name string")
+    assert [r["id"] for r in md.unique_identifiers(rows, "file", "pos", "name").orderBy("pos").collect()] == ["x", "x_2", "x_3", "x_4"]
+
+
+def test_what_does_not_fit_uses_nothing_up(spark):
+    rows = spark.createDataFrame([("f", 1, 6), ("f", 2, 9), ("f", 3, 4), ("f", 4, 1)], "file string, pos int, size int")
+    assert md.within_budget(rows, "file", "pos", "size", 10).first()["kept"] == [1, 3]
+
+
+@pytest.mark.parametrize(
+    ("kind", "text", "fine"),
+    [("UInt64", "18446744073709551615", True), ("UInt64", "18446744073709551616", False), ("Int8", "-128", True), ("Int8", "-129", False), ("Int32", "1.0", False), ("Boolean", "true", True), ("Boolean", "1", False), ("Float32", "3.4e38", True), ("Float32", "3.5e38", False), ("Float64", "1e999", False), ("Float64", "nan", False), ("String", "x", True), ("Int128", "1", False), ("UInt8", "9" * 50, False)],
+)
+def test_property_problem(spark, kind, text, fine):
+    assert (one(spark, md.property_problem(F.lit(kind), F.lit(text))) is None) is fine
