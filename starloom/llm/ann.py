@@ -76,7 +76,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
 
     Scores are double precision on the original vectors, ties go to the smaller
     id. Null or zero vectors, vectors with a null, NaN or infinite component and
-    null ids take no part; a query never finds its own id. Vectors that repeat
+    null ids take no part,
+    nor do vectors of another length than most; a query never finds its own id. Vectors that repeat
     an id are separate candidates. Empty tables give no rows.
     """
     ws = Workspace(vectors.sparkSession, "ann")
@@ -86,15 +87,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
         fine = F.forall(v, lambda x: x.isNotNull() & (x == x) & (F.abs(x) < F.lit(float("inf"))))
         return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull()).filter(fine & F.exists(v, lambda x: x != 0))
 
-    own = ws.save(sound(vectors), "vectors")
+    own = sound(vectors)
+    length = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if length is None:
+        return ws.spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    alike = F.size("v") == length["d"]
+    own = ws.save(own.filter(alike), "vectors")
     n = own.count()
     # Pivots come from the distinct vectors of least hash, whatever their ids or partitions.
     picked = own.select("v", F.xxhash64("v").alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(SAMPLE).collect()
-    if not picked:
-        return ws.spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     pivots = choose_pivots(np.array([r["v"] for r in picked], float))
     shards = max(1, -(-n // SHARD))
-    asked = sound(queries)
+    asked = sound(queries).filter(alike)
     blocks = max(1, -(-asked.count() // BLOCK))
     # One row a vector and block of queries, one a query and shard: a task holds one shard and one block.
     index = own.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

@@ -59,13 +59,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ws = Workspace(docs.sparkSession, "lines")
     covered = ws.save(repeated_lines(docs, id_col, text_col, window), "covered")
     total = covered.agg(F.coalesce(F.sum(F.size("covered") + 4), F.lit(0)).alias("n")).first()["n"]
-    names = {n: free_name(docs, n) for n in ("id", "th", "covered", "n_gone")}
+    names = {n: free_name(docs, n) for n in ("id", "th", "covered", "text_key")}
     covered = covered.toDF(*(names[n] for n in ("id", "th", "covered")))
     if total <= BROADCAST_POSITIONS:
         covered = F.broadcast(covered)
-    th, runs = names["th"], F.col(names["covered"])
-    keyed = docs.withColumn(f"_{th}", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(covered, keyed[id_col].eqNullSafe(F.col(names["id"])) & (F.col(f"_{th}") == F.col(th)), "left")
+    th, own, runs = names["th"], names["text_key"], F.col(names["covered"])
+    keyed = docs.withColumn(own, F.xxhash64(F.col(text_col)))
+    joined = keyed.join(covered, keyed[id_col].eqNullSafe(F.col(names["id"])) & (F.col(own) == F.col(th)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     # Runs of covered lines: [begin, end) where the next window starts beyond the last one's end.
     begins = F.filter(runs, lambda p, i: (i == 0) | (p > F.get(runs, i - 1) + window))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from starloom.llm.common import Workspace, small
+from starloom.llm.common import Workspace, free_name, small
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -55,6 +55,7 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", at_col:
     keyed = asked.select("u", "t", F.explode_outer(F.array_distinct(url_keys(F.col("u")))).alias("key"))
     live = keyed.join(small(valid), "key").filter("since <= t and (until is null or t < until)")
     best = F.min(F.struct((-F.length("key")).alias("a"), F.when(F.col("verdict") == "deny", 0).otherwise(1).alias("b"), "list", "key", "verdict")).alias("best")
-    judged = live.groupBy("u", "t").agg(best).select(F.col("u").alias("_ju"), F.col("t").alias("_jt"), "best")
-    joined = captures.join(judged, (captures[url_col] == F.col("_ju")) & (captures[at_col] == F.col("_jt")), "left")
-    return joined.select(*(captures[c] for c in captures.columns), F.coalesce("best.verdict", F.lit("none")).alias(verdict), F.col("best.key").alias(key), F.col("best.list").alias(name))
+    u, t, b = (free_name(captures, c) for c in ("judged_url", "judged_at", "best"))
+    judged = live.groupBy("u", "t").agg(best).select(F.col("u").alias(u), F.col("t").alias(t), F.col("best").alias(b))
+    joined = captures.join(judged, (captures[url_col] == F.col(u)) & (captures[at_col] == F.col(t)), "left")
+    return joined.select(*(captures[c] for c in captures.columns), F.coalesce(f"{b}.verdict", F.lit("none")).alias(verdict), F.col(f"{b}.key").alias(key), F.col(f"{b}.list").alias(name))

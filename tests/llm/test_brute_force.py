@@ -121,7 +121,7 @@ def test_ann_recall(spark):
     v = r.normal(size=(1500, 32))
     v[:500] = v[0] + r.normal(scale=0.01, size=(500, 32))  # one group holds a third
     v[700] = v[701]
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5000, None), (5020, [0.0] * 32), (5040, [float("nan")] * 32), (5060, [None] * 32)]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5000, None), (5020, [0.0] * 32), (5040, [float("nan")] * 32), (5060, [None] * 32), (5080, [1.0] * 31), (5100, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = {}
     for x in ann.nearest(df, df.filter("vec_id % 20 = 0")).collect():
@@ -206,7 +206,7 @@ def test_url_lists_against_brute_force(spark):
     entries = [("l", "||b.com", "deny", "add", 10), ("l", "||b.com", "deny", "remove", 20), ("l", "||b.com", "deny", "add", 30), ("m", "||a.b.com", "allow", "add", 15), ("m", "a.b.com/x/", "deny", "add", 16), ("m", "a.b.com/x", "deny", "add", 40), ("l", None, "deny", "add", 1), ("k", "||b.com", "deny", "add", 12)]
     urls = ["http://a.b.com/", "https://B.com:80/x?y", "http://u@a.b.com/x/z", "http://ab.com/", "", None, "b.com"]
     rows = [(i, u, t) for i, (u, t) in enumerate((u, t) for u in urls for t in (5, 10, 15, 19, 20, 30, 45, None))]
-    df = spark.createDataFrame(rows, "page_id int, url string, fetched_at int")
+    df = spark.createDataFrame(rows, "page_id int, url string, fetched_at int").selectExpr("*", "1 AS best", "2 AS key", "3 AS u", "4 AS judged_url")
     listed = spark.createDataFrame(entries, "list string, key string, verdict string, action string, at int")
     live = {"l": [(10, 20), (30, 99)], "k": [(12, 99)]}
 
