@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from starloom.functions import pixels
 from starloom.operators import images as im
-from starloom.sources import fits, png, xisf
+from starloom.sources import fits, png, tiff, xisf
 from starloom.sources.files import save
 
 
 @dataclass(frozen=True)
 class Options:
-    """What to make: ``to`` fits, xisf or png; ``stretch`` none, linked or unlinked; rows may be flipped."""
+    """What to make: ``to`` fits, xisf, tif or png; ``stretch`` none, linked or unlinked; rows may be flipped."""
 
     to: str
     sample_format: str | None = None
@@ -24,7 +24,7 @@ class Options:
     codec: str | None = "zstd"
 
     def check(self) -> None:
-        if self.to not in ("fits", "xisf", "png"):
+        if self.to not in ("fits", "xisf", "png", "tif"):
             raise ValueError(f"unknown output format: {self.to}")
         if self.stretch not in (None, "linked", "unlinked"):
             raise ValueError(f"unknown stretch: {self.stretch}")
@@ -65,6 +65,8 @@ def convert(bands: DataFrame, options: Options, lower: float = 0.0, upper: float
     rows = rows.select(ending.alias("path"), "channel", "y", "values")
     if options.to == "fits":
         return fits.files(rows, target)
+    if options.to == "tif":
+        return tiff.files(rows, target)
     return xisf.files(rows, target, options.codec) if options.to == "xisf" else png.files(rows, 8 if target == "UInt8" else 16)
 
 

@@ -10,7 +10,7 @@ import pytest
 
 
 from starloom.plans.convert import Options, convert, read
-from starloom.sources import fits, png, xisf
+from starloom.sources import fits, png, tiff, xisf
 from starloom.sources.files import save
 from starloom.streaming.incremental import convert_new, windowed_events
 
@@ -157,3 +157,39 @@ def test_new_files_are_converted_once(spark, tmp_path):
 def test_windowed_events(spark):
     rows = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS event_type, 1.0D AS value UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a', 2.0D")
     assert [(r["n"], r["total"]) for r in windowed_events(rows).collect()] == [(2, 3.0)]
+
+
+def tiff_samples(data):
+    """A reader of its own for what the writer makes."""
+    at, n = struct.unpack("<I", data[4:8])[0], 0
+    n = struct.unpack("<H", data[at : at + 2])[0]
+    tags = {}
+    for i in range(n):
+        tag, kind, count, value = struct.unpack("<HHI4s", data[at + 2 + 12 * i : at + 14 + 12 * i])
+        size = {3: 2, 4: 4}[kind]
+        raw = value if count * size <= 4 else data[struct.unpack("<I", value)[0] :]
+        tags[tag] = struct.unpack(f"<{count}{'H' if kind == 3 else 'I'}", raw[: count * size])
+    (w,), (h,), (c,), (per,), (predictor,) = (tags[t] for t in (256, 257, 277, 278, 317))
+    kind = np.dtype({1: "u", 3: "f"}[tags[339][0]] + str(tags[258][0] // 8))
+    out = []
+    for offset, size in zip(tags[273], tags[279], strict=True):
+        raw = np.frombuffer(zlib.decompress(data[offset : offset + size]), np.uint8)
+        if predictor == 3:
+            rows = raw.reshape(-1, w * c * kind.itemsize).copy()
+            for x in range(c, rows.shape[1]):
+                rows[:, x] += rows[:, x - c]
+            out.append(np.ascontiguousarray(rows.reshape(len(rows), kind.itemsize, w * c).transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(-1, w, c))
+        else:
+            rows = raw.view(kind).reshape(-1, w, c).copy()
+            out.append(np.cumsum(rows, axis=1, dtype=kind) if predictor == 2 else rows)
+    got = np.concatenate(out)
+    assert len(got) == h and all(len(x) <= per for x in out)
+    return got.transpose(2, 0, 1)
+
+
+@pytest.mark.parametrize("kind", list(DTYPES))
+@pytest.mark.parametrize("shape", [(1, 4, 5), (3, 7, 3), (4, 2, 2)])
+def test_tiff_holds_the_samples(monkeypatch, kind, shape):
+    monkeypatch.setattr(tiff, "STRIP", 64)
+    image = sample(kind, shape)
+    np.testing.assert_array_equal(tiff_samples(tiff.encode(image, kind)), image)
