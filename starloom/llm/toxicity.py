@@ -10,6 +10,8 @@ threshold calibrated on documents the dictionaries were not made from.
 
 from __future__ import annotations
 
+import heapq
+import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +29,8 @@ TRAIN_ROWS = 3000
 #: Bytes of the toxic part, of the ordinary part they share, and remembered words of a task.
 TOXIC_BYTES, SHARED_BYTES, VOCABULARY = 16384, 24576, 1 << 19
 GRAM, TOP = 5, 8
+#: Parts of TOXIC_BYTES that the toxic part may fill; held-out likelihood picks one.
+FILLS = (1 / 32, 1 / 8, 1)
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -41,8 +45,8 @@ def _frequencies(docs: list[list[bytes]]) -> Counter:
 
 
 def _grams(word: bytes) -> set[bytes]:
-    w = b" " + word
-    return {w[i : i + GRAM] for i in range(len(w) - GRAM + 1)}
+    w = b" " + word  # a word too short for a gram is one itself
+    return {w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))}
 
 
 def _gram_frequencies(docs: list[list[bytes]]) -> Counter:
@@ -66,28 +70,55 @@ def _join(words: list[bytes], size: int) -> bytes:
     return b"".join(reversed(out))
 
 
-def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes, bytes]:
-    """(toxic, ordinary, carrier): contents of equal structure and the phrase for windows.
+def _rank(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[list[bytes], list[bytes]]:
+    """(toxic words, the most telling first; ordinary words, the most frequent first).
 
-    Cover selection: a word enters the toxic part by the grams it holds that
-    toxic documents have significantly more often than ordinary ones.
+    A gram that toxic documents have more often weighs its likelihood ratio
+    statistic, which grows with purity and with frequency; no gram is too rare
+    to weigh something. Greedy cover: a gram counts for the first word that
+    holds it, so a frequent stem's many forms do not crowd out rarer stems.
     """
     wt, wo = _frequencies(toxic), _frequencies(ordinary)
     gt, go = _gram_frequencies(toxic), _gram_frequencies(ordinary)
+    nt, no = max(1, len(toxic)), max(1, len(ordinary))
     weight = {}
     for g, k in gt.items():
-        p, q = k / max(1, len(toxic)), (go[g] + 1) / max(1, len(ordinary))
-        z = (p - q) / np.sqrt(p / max(1, len(toxic)) + q / max(1, len(ordinary)))
-        if k >= 4 and z > 5:
-            weight[g] = z
-    chosen = {w: s * n**0.5 for w, n in wt.items() if (s := sum(weight.get(g, 0) for g in _grams(w)))}
-    frequent = [w for w, _ in sorted(wo.items(), key=lambda x: (-x[1], x[0]))]
-    special = _join(sorted(chosen, key=lambda w: (-chosen[w], w)), TOXIC_BYTES)
+        q, both = go[g], (k + go[g]) / (nt + no)
+        if k * no > q * nt:
+            weight[g] = 2 * (k * math.log(k / nt / both) + (q * math.log(q / no / both) if q else 0))
+    held = {w: (found, n**0.5) for w, n in wt.items() if (found := sorted(weight.keys() & _grams(w)))}
+    queue = [(-r * sum(weight[g] for g in found), w) for w, (found, r) in held.items()]
+    heapq.heapify(queue)
+    telling, room = [], TOXIC_BYTES
+    while queue and room > 0:
+        score, w = heapq.heappop(queue)
+        found, r = held[w]
+        now = -r * sum(weight[g] for g in found)
+        if now != score and queue and (now, w) > queue[0]:  # scores only fall: wait for its turn
+            heapq.heappush(queue, (now, w))
+            continue
+        telling.append(w)
+        room -= len(w) + 1
+        for g in found:
+            weight[g] = 0.0
+    return telling, [w for w, _ in sorted(wo.items(), key=lambda x: (-x[1], x[0]))]
+
+
+def _contents(telling: list[bytes], frequent: list[bytes], size: int) -> tuple[bytes, bytes, bytes]:
+    special = _join(telling, size)
     shared = _join(frequent, SHARED_BYTES)
     rest = _join(frequent[shared.count(b" ") :], max(len(special), 1))
     return special + shared, rest + shared, shared[-300:-252] + shared[-600:-576]
 
 
+def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], fill: float = 1) -> tuple[bytes, bytes, bytes]:
+    """(toxic, ordinary, carrier): contents of equal structure and the phrase for windows.
+
+    The toxic part holds the most telling words, as many as fit in ``fill`` of its bytes.
+    """
+    return _contents(*_rank(toxic, ordinary), int(TOXIC_BYTES * fill))
+
+
 class Margins(dict):
     """Word to (ordinary length - toxic length), remembered up to a bound."""
 
@@ -154,24 +185,30 @@ def fit(t: list[list[bytes]], o: list[list[bytes]], share: float | None = None)
     """A model of two samples of documents' words; ``share`` is the part of toxic rows among all labelled ones.
 
     Half of either sample makes dictionaries that measure the other half, and
-    the reverse, so thresholds are calibrated on words not yet seen; the final
-    dictionaries are made from all. With either sample empty every score is 0.
+    the reverse, so thresholds are calibrated on documents not yet seen, and the
+    fill of least loss is taken; the final dictionaries are made from all. With either sample empty every score is 0.
     """
     if not t or not o:
         return Model(b" ", b" ", b" ", np.r_[-30.0, np.zeros(2 * TOP + 2)], np.zeros(2 * TOP + 2), np.ones(2 * TOP + 2))
-    xs, ys = [], []
-    for part in (0, 1):
-        made = Margins(*train_dictionaries(t[part::2], o[part::2]))
-        for label, docs in ((1, t), (0, o)):
-            seen = docs[1 - part :: 2]
-            xs += [features(made, d) for d in seen]
-            ys += [label] * len(seen)
-    x, y = np.array(xs), np.array(ys, float)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    w = _logistic(np.c_[np.ones(len(x)), (x - mean) / scale], y)
+    ranked = [_rank(t[part::2], o[part::2]) for part in (0, 1)]
+    tried = []
+    for fill in FILLS:
+        xs, ys = [], []
+        for part in (0, 1):
+            made = Margins(*_contents(*ranked[part], int(TOXIC_BYTES * fill)))
+            for label, docs in ((1, t), (0, o)):
+                seen = docs[1 - part :: 2]
+                xs += [features(made, d) for d in seen]
+                ys += [label] * len(seen)
+        x, y = np.array(xs), np.array(ys, float)
+        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+        z = np.c_[np.ones(len(x)), (x - mean) / scale]
+        w = _logistic(z, y)
+        tried.append((np.logaddexp(0, (1 - 2 * y) * (z @ w)).sum(), fill, w, mean, scale))
+    _, fill, w, mean, scale = min(tried, key=lambda r: r[:2])
     if share is not None:  # samples of other proportions move the intercept only
         w[0] += np.log(share / (1 - share)) - np.log(len(t) / len(o))
-    return Model(*train_dictionaries(t, o), w, mean, scale)
+    return Model(*train_dictionaries(t, o, fill), w, mean, scale)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:

@@ -202,6 +202,18 @@ def test_toxicity_held_out(spark):
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
 
 
+def test_toxic_words_of_a_minority_enter_the_dictionary():
+    r = np.random.default_rng(7)
+    plain = [f"p{i}".encode() for i in range(400)]
+
+    def docs(n, *words):
+        return [[*(plain[int(k)] for k in r.integers(0, 400, 30)), *words] for _ in range(n)]
+
+    toxic = docs(330, b"wretchednoun") + docs(20, b"zorkelbane") + docs(20, b"zog")
+    special = toxicity.train_dictionaries(toxic, docs(2800))[0]
+    assert all(w in special for w in (b" wretchednoun", b" zorkelbane", b" zog"))
+
+
 def test_url_lists_against_brute_force(spark):
     entries = [("l", "||b.com", "deny", "add", 10), ("l", "||b.com", "deny", "remove", 20), ("l", "||b.com", "deny", "add", 30), ("m", "||a.b.com", "allow", "add", 15), ("m", "a.b.com/x/", "deny", "add", 16), ("m", "a.b.com/x", "deny", "add", 40), ("l", None, "deny", "add", 1), ("k", "||b.com", "deny", "add", 12)]
     urls = ["http://a.b.com/", "https://B.com:80/x?y", "http://u@a.b.com/x/z", "http://ab.com/", "", None, "b.com"]
