@@ -59,8 +59,10 @@ RULES = [
     ("CC-BY-4.0", ["CcBy4"]),
     ("all-rights-reserved", ["AllRights"]),
 ]
-#: Sentences end at line ends, and after . ! ? or ; before white space.
-ENDS = r"(?<=[.!?;])[\x20\x09-\x0D]+|[\x0A-\x0D]+"
+#: Sentences begin and end at line ends, and after . ! ? or ; before white space; inside one, either is white space.
+ENDS = r"[.!?;][\x20\x09-\x0D]+|[\x0A-\x0D]+"
+#: Every known sentence holds one of these.
+HINTS = "licen|right|warrant|software|redistribut|apache|copy|neither|gnu|unless"
 
 
 def _known() -> list[tuple[str, str]]:
@@ -75,13 +77,15 @@ def scan(docs: DataFrame, text_col: str = "text", licences: str = "licences", se
     columns pass through; the three new names must not be among them.
     """
     known = F.create_map(*(F.lit(x) for pair in _known() for x in pair))
-    longest = max(len(s) for s, _ in _known())
     keys = [c for c in docs.columns if c != text_col]
-    parts = F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), ENDS, -1)
-    # A sentence of other length than any known one cannot be one; most are spared the normalising.
-    near = F.filter(parts, lambda s: F.length(s).between(8, 2 * longest) & F.rlike(s, F.lit("licen|right|warrant|software|redistribut|apache|copy|neither|gnu|unless")))
-    plain = F.transform(near, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    ids = docs.select(*keys, plain.alias("_s")).select(*keys, F.filter(F.transform("_s", lambda s: F.element_at(known, s)), lambda i: i.isNotNull()).alias("_ids"))
+    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    # Words one space apart, but a bar where a sentence may begin or end: a wrapped or commented sentence has bars inside.
+    marked = F.regexp_replace(F.translate(text, "|", " "), ENDS, "|")
+    words = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9|]+", " "), r" *\|[ |]*", "|")
+    every = sorted((s for s, _ in _known()), key=lambda s: (-len(s), s))
+    pattern = r"(?<=\|)(?:" + "|".join(s.replace(" ", "[ |]") for s in every) + r")(?=\|)"
+    near = F.when(F.rlike(text, F.lit(HINTS)), F.regexp_extract_all(F.concat(F.lit("|"), F.trim(words), F.lit("|")), F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    ids = docs.select(*keys, F.transform(near, lambda s: F.element_at(known, F.translate(s, "|", " "))).alias("_ids"))
     out = ids.select(*keys, F.size("_ids").cast("bigint").alias("_n"), F.concat(F.lit(""), F.array_join(F.transform("_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")).alias("_r0"))
     hits = []
     for k, (name, rule) in enumerate(RULES):

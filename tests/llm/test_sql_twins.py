@@ -110,3 +110,48 @@ def test_licence_rules_take_the_longest_sequence(spark):
     rows = [(1, text("BsdPermission", "BsdSource", "BsdBinary", "BsdNames")), (2, text("BsdPermission", "BsdSource", "BsdBinary")), (3, text("BsdSource", "BsdPermission")), (4, text("MitPermission", "MitNotice", "AsIs", "MitNoLiability"))]
     got = {r["doc_id"]: (r["licences"], r["unmatched"]) for r in scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: ("BSD-3-Clause", ""), 2: ("BSD-2-Clause", ""), 3: ("", "<BsdSource><BsdPermission>"), 4: ("MIT", "")}
+
+
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program; if not, see <https://www.gnu.org/licenses/>."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_wrapped_and_commented_licences(spark):
+    import textwrap
+
+    from starloom.llm.licences import HINTS, SENTENCES, scan
+
+    def wrapped(*ids):
+        return "\n\n".join(textwrap.fill(SENTENCES[i][0].capitalize() + ".", 79) for i in ids)
+
+    def commented(text, mark):
+        return "\n".join(mark + line for line in text.split("\n"))
+
+    mit = wrapped("MitPermission", "MitNotice", "AsIs", "MitNoLiability")
+    bsd = wrapped("BsdPermission", "BsdSource", "BsdBinary", "BsdNames")
+    texts = [mit, commented(mit, "// "), bsd, commented(bsd, " * "), GPL2, commented(GPL2, "# "), APACHE, commented(APACHE, "# "), "Released under the MIT License" + " " * 5000 + "*\nmore"]
+    rows = {r["doc_id"]: r for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [rows[i]["licences"] for i in range(9)] == ["MIT"] * 2 + ["BSD-3-Clause"] * 2 + ["GPL-2.0-or-later"] * 2 + ["Apache-2.0"] * 2 + ["MIT"]
+    assert all(r["unmatched"] == "" for r in rows.values())
+    assert all(any(h in s for h in HINTS.split("|")) for found in SENTENCES.values() for s in found)
