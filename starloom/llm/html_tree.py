@@ -7,8 +7,14 @@ import re
 
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math xmp noembed noframes object canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style template textarea title iframe xmp noembed noframes".split())
+#: canvas, noscript and object hold content to show in their place.
+INLINE = frozenset("a abbr acronym b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark noscript object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Their own elements make no blocks; the start of an HTML block ends an unclosed one.
+FOREIGN = frozenset("math svg".split())
+BREAKOUT = frozenset("address article aside blockquote body center dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 head header hr li main menu nav ol p pre section table td th tr ul".split())
+#: The end of a raw element. Searched in the page itself: lower-casing can change its length.
+RAW_END = {t: re.compile(rf"</{t}(?![a-z0-9-])[^>]*(?:>|\Z)", re.IGNORECASE | re.ASCII) for t in RAW}
 #: Elements whose start ends an open one of the named kinds, if no element of the second kind lies between.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -60,7 +66,8 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             parts.clear()
         linked[0] = 0
 
-    at, anchors, low = 0, 0, source.lower()
+    at, anchors, foreign = 0, 0, False
+    unclosed: set[str] = set()
     for m in iter(lambda: TOKEN.search(source, at), None):
         text(source[at : m.start()])
         at = m.end()
@@ -73,19 +80,30 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m[1]:
             if tag == "a" and anchors:
                 anchors -= 1
-            if tag in INLINE:
+            if tag in FOREIGN:
+                foreign = False
+            if tag in INLINE or tag in FOREIGN:
                 continue
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if depth:
+                foreign = False
                 close()
                 del stack[depth:]
                 anchors = 0
             continue
         if tag in RAW:
-            end = low.find(f"</{tag}", at)
-            stop = low.find(">", end) if end >= 0 else -1
-            if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
-                at = stop + 1 if stop >= 0 else len(source)
+            if m[3].rstrip().endswith("/") and tag not in ("script", "style", "title", "textarea"):
+                continue
+            end = None if tag in unclosed else RAW_END[tag].search(source, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = len(source)
+            else:
+                unclosed.add(tag)
+            continue
+        if tag in FOREIGN:
+            foreign = not m[3].rstrip().endswith("/")
             continue
         if tag in INLINE:
             if tag == "a" and not m[3].rstrip().endswith("/"):
@@ -93,6 +111,9 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             elif tag in ("br", "wbr", "img"):
                 text(" " if tag != "wbr" else "")
             continue
+        if foreign and tag not in BREAKOUT:
+            continue
+        foreign = False
         close()
         anchors = 0
         if tag in VOID:

@@ -193,6 +193,19 @@ def test_html_text_is_decoded_and_joined():
     assert html_content.main_text(page) == "A & B\n\none two three\n\nlast <x>"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("\u0130" * 12 + "<script>x=1</script><p>Haber metni burada</p>", ["\u0130" * 12, "Haber metni burada"]),
+        ("<p>let <math><mi>x</mi></math> be <svg><path d='M0'/><style>p{}</style></svg>small</p>", ["let x be small"]),
+        ("<article><noscript><p>shown</p></noscript><object data=x>in its place</object></article>", ["shown", "in its place"]),
+        ("<p>a</p><svg><g><p>b</p><template><p>c</p><SCRIPT>y</scripts></SCRIPT >d", ["a", "b", "c", "d"]),
+    ],
+)
+def test_html_raw_elements_lose_no_text(page, want):
+    assert [text for _, text in parse(page)[1]] == want
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
