@@ -266,6 +266,21 @@ def fits_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("s").alias("checksum"))
 
 
+@_query("""WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, rpad(h, CAST((length(h) + 7) // 8 * 8 AS INT), '0') AS h FROM h),
+w AS (SELECT doc_id, list_sum(list_transform(regexp_extract_all(h, '.{8}'), lambda x: CAST('0x' || x AS BIGINT))) AS s FROM p),
+f AS (SELECT doc_id, coalesce(s, 0) % 4294967296 + coalesce(s, 0) // 4294967296 AS s FROM w)
+SELECT doc_id, CAST(s % 4294967296 + s // 4294967296 AS BIGINT) AS checksum FROM f""")
+def fits_checksum_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checksum of all UTF-8 bytes, the last word padded with zeros; ``fits_checksum`` sums the first 400 characters."""
+    rows = _table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.hex(F.col("text").cast("binary")).alias("h"))
+    words = F.regexp_extract_all(F.concat("h", F.expr("repeat('0', pmod(-length(h), 8))")), F.lit(".{8}"), F.lit(0))
+    rows = rows.select("doc_id", F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a + F.conv(w, 16, 10).cast("bigint")).alias("s"))
+    for _ in range(2):
+        rows = rows.withColumn("s", F.expr("s % 4294967296 + s div 4294967296"))
+    return rows.select("doc_id", F.col("s").alias("checksum"))
+
+
 # --- keywords, properties, lookups ----------------------------------------------------------
 
 
@@ -274,6 +289,12 @@ def base64_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.base64(F.substring(F.regexp_replace("text", "[^ -~]", "?"), 1, 30).cast("binary")).alias("b64"))
 
 
+@_query("SELECT doc_id, base64(encode(text)) AS b64 FROM documents")
+def base64_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text, in one line whatever the session's chunking; ``base64_text`` encodes the first 30 characters."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.translate(F.base64(F.col("text").cast("binary")), "\r\n", "").alias("b64"))
+
+
 @_query("SELECT doc_id, true AS valid, regexp_matches(text, '^[\\x20-\\x7E\\x09\\x0A\\x0D]*$') AS ascii_text FROM documents")
 def utf8_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.is_valid_utf8("text").alias("valid"), F.rlike("text", F.lit(r"\A[\x20-\x7E\x09\x0A\x0D]*\z")).alias("ascii_text"))
@@ -321,6 +342,12 @@ def id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), F.expr("p_partkey = l_partkey")).select("l_orderkey", "l_linenumber", "p_brand", "p_size")
 
 
+@_query("SELECT l_orderkey, l_linenumber, p_brand, p_size FROM lineitem JOIN part ON p_partkey = l_partkey")
+def id_lookup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return items.join(_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), F.expr("p_partkey = l_partkey")).select("l_orderkey", "l_linenumber", "p_brand", "p_size")
+
+
 @_query("SELECT p_partkey FROM part ANTI JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) ON l_partkey = p_partkey")
 def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey").join(_table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select("l_partkey"), F.expr("l_partkey = p_partkey"), "left_anti")

@@ -42,3 +42,22 @@ def test_matches_sql(spark, con, name):
     b = sorted(([r[i] for i in order] for r in want.fetchall()), key=key)
     assert len(a) == len(b)
     assert all(close(x, y) for r, s in zip(a, b, strict=True) for x, y in zip(r, s, strict=True))
+
+
+def test_whole_texts_are_read(spark, tmp_path):
+    import base64
+
+    texts = ["", "a", "abcd" * 99 + "é", "x" * 400 + "tail", "語" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def checksum(b):
+        b += bytes(-len(b) % 4)
+        s = sum(int.from_bytes(b[i : i + 4], "big") for i in range(0, len(b), 4))
+        while s >> 32:
+            s = (s & 0xFFFFFFFF) + (s >> 32)
+        return s
+
+    sums = {r["doc_id"]: r["checksum"] for r in catalog.fits_checksum_whole(spark, str(tmp_path)).collect()}
+    assert sums == {i: checksum(t.encode()) for i, t in enumerate(texts)}
+    coded = {r["doc_id"]: r["b64"] for r in catalog.base64_whole(spark, str(tmp_path)).collect()}
+    assert coded == {i: base64.b64encode(t.encode()).decode() for i, t in enumerate(texts)}
