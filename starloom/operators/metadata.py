@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -163,14 +164,39 @@ def flip_wcs(cards: DataFrame, key: str, height: Column) -> DataFrame:
 
 
 def unique_identifiers(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """(key, order, id) with ids made different in order: x, x_2, x_3, whichever is not taken yet."""
-    listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n")))).alias("l"))
-    kind = listed.schema["l"].dataType.elementType["o"].dataType.simpleString()
-    none = F.array().cast(f"array<struct<o:{kind},id:string>>")
+    """(key, order, id) with ids made different in order: x, x_2, x_3, whichever is not taken yet.
 
-    def free(taken: Column, n: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda i: F.when(i == 1, n).otherwise(F.concat(n, F.lit("_"), i.cast("string"))))
-        return F.get(F.filter(tries, lambda t: ~F.array_contains(F.transform(taken, lambda x: x["id"]), t)), F.lit(0))
-
-    made = F.aggregate("l", none, lambda a, x: F.concat(a, F.array(F.struct(x["o"].alias("o"), free(a, x["n"]).alias("id")))))
-    return listed.select(key, F.inline(made)).withColumnRenamed("o", order)
+    Only names of one stem (a name less its trailing numbers) can meet. A stem
+    under which a key has a single name is numbered by rank, which costs a sort;
+    only stems with several names, where x_2 may be taken already, go through an
+    ordered pass. Rows that tie in ``order`` are numbered in any order; a null
+    name stays null.
+    """
+    stem = F.regexp_replace(name, r"(_[0-9]+)+$", "")
+    own = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(name).alias("n"), stem.alias("s"))
+    mixed = own.groupBy("k", "s").agg(F.min("n").alias("a"), F.max("n").alias("b")).filter("a <> b").select(F.col("k").alias("mk"), F.col("s").alias("ms"))
+    meets = F.col("k").eqNullSafe(F.col("mk")) & (F.col("s") == F.col("ms"))
+    rank = F.row_number().over(W.partitionBy("k", "n").orderBy("o"))
+    plain = own.join(mixed, meets, "left_anti").withColumn("r", rank).select("k", "o", F.when(F.col("r") == 1, F.col("n")).otherwise(F.concat("n", F.lit("_"), F.col("r").cast("string"))).alias("id"))
+    several = own.join(mixed, meets, "left_semi")
+    schema = plain.schema
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("o")
+        taken: set[str] = set()
+        tried: dict[str, int] = {}  # numbers below this are taken: each is tried once a name
+        ids = []
+        for n in table["n"].to_pylist():
+            found, k = n, tried.get(n, 1)
+            while found in taken or k > 1:
+                found = n if k == 1 else f"{n}_{k}"
+                if found not in taken:
+                    break
+                k += 1
+            tried[n] = k + 1
+            taken.add(found)
+            ids.append(found)
+        return pa.table({"k": table["k"], "o": table["o"], "id": pa.array(ids, pa.string())})
+
+    made = plain.unionByName(several.groupBy("k", "s").applyInArrow(run, schema))
+    return made.select(F.col("k").alias(key), F.col("o").alias(order), "id")

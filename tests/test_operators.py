@@ -156,3 +156,21 @@ def test_what_does_not_fit_uses_nothing_up(spark):
 )
 def test_property_problem(spark, kind, text, fine):
     assert (one(spark, md.property_problem(F.lit(kind), F.lit(text))) is None) is fine
+
+
+def test_unique_identifiers_against_an_ordered_fold(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(g, i, r.choice(["x", "x_2", "x_2_2", "x_3", "y", "y_2", "_2", "z"])) for g in ("a", "b", "c") for i in range(60)]
+    rows += [("d", i, "x") for i in range(300)]
+    want = {}
+    for g, i, n in sorted(rows):
+        taken = {v for (h, _), v in want.items() if h == g}
+        k, found = 1, n
+        while found in taken:
+            k += 1
+            found = f"{n}_{k}"
+        want[g, i] = found
+    df = spark.createDataFrame(rows, "file string, pos int, name string").repartition(7)
+    assert {(x["file"], x["pos"]): x["id"] for x in md.unique_identifiers(df, "file", "pos", "name").collect()} == want
