@@ -33,7 +33,7 @@ SLOTS, BAND_ROWS = 128, 4
 #: About as many sets, and their elements, make a block.
 BLOCK_SETS, BLOCK_ELEMENTS = 192, 2_000_000
 #: Elements worked on at a time, and remembered words of a task: bounds on memory only.
-CHUNK, VOCABULARY = 1 << 17, 1 << 19
+CHUNK, VOCABULARY = 1 << 15, 1 << 17
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = ws.save(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
 
     keyed = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("leader")).filter("m > 1")
+    # Written first: a side that is a table, not an aggregate, lets a hot bucket of the other be split.
+    shared = ws.save(keyed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("leader")).filter("m > 1"), "shared")
     members = ws.save(keyed.join(shared, "bucket"), "members")
     fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
     sizes = classes.select(F.col("node").alias("leader"), F.col("n").alias("n2"))
@@ -210,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # What the stars leave open: members of a bucket that are in different groups.
     placed = members.filter("m > 2").join(group, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
+    mixed = ws.save(placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket"), "mixed")
     nodes = ws.save(placed.join(mixed, "bucket").select("node").distinct(), "open")
     sets = _full_sets(ws, base, rows, classes, nodes, width, "open")
     posts = _rare_shingles(ws, sets, percent)
@@ -259,14 +260,15 @@ def _block_links(ws: Workspace, sets: DataFrame, posts: DataFrame, percent: int)
     Sets that share rare shingles form a family, and no alike pair crosses
     families. A family is dealt into blocks of bounded size, and a task compares
     two blocks: it returns only links that join what it has not joined yet, so
-    neither a task's input nor its output grows with the family.
+    neither a task's input nor its output grows with the family. Block pairs are
+    dealt out anew: rows that a join left together by family would else stay so.
     """
     chain = posts.join(posts.groupBy("token").agg(F.min("node").alias("hub")), "token").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     family = ws.save(components(ws, chain, "family"), "family").withColumnRenamed("root", "family")
     placed = sets.join(family, "node")
-    many = placed.groupBy("family").agg(F.count("*").alias("m"), F.sum(F.size("members")).alias("total"))
+    many = family.join(sets.select("node", F.size("members").alias("size")), "node").groupBy("family").agg(F.count("*").alias("m"), F.sum("size").alias("total"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_ELEMENTS)).cast("int")
-    placed = placed.join(many.select("family", blocks.alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.join(small(ws.save(many.select("family", blocks.alias("blocks")), "blocks")), "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "node", "members")
 
@@ -306,7 +308,7 @@ def _block_links(ws: Workspace, sets: DataFrame, posts: DataFrame, percent: int)
                 v_out.append(node[q])
         return pa.table({"u": pa.array(u_out, pa.int64()), "v": pa.array(v_out, pa.int64())})
 
-    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "u bigint, v bigint")
+    return dealt.repartition("family", "i", "j").groupBy("family", "i", "j").applyInArrow(compare, "u bigint, v bigint")
 
 
 def _confirm(ws: Workspace, sets: DataFrame, pairs: DataFrame, percent: int, label: str) -> DataFrame:
