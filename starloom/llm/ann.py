@@ -2,9 +2,9 @@
 
 A bounded sample of vectors serves as pivots. Every vector is represented by
 its nearest pivots in order and posted, with its place in that order, in the
-inverted file of each of them. A query walks the files of its own nearest
-pivots, sums the footrule distance between the two orders, and the candidates
-of least distance are ranked again by the true inner product.
+inverted file of each of them. A query walks the files of its own few nearest
+pivots, sums the footrule distance over them, and the candidates of least
+distance are ranked again by the true inner product.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from starloom.llm.common import Workspace
 
-#: Vectors sampled to choose pivots from, pivots, and how many of them represent a vector.
-SAMPLE, PIVOTS, LENGTH = 1024, 128, 64
+#: Vectors sampled to choose pivots from, pivots, how many of them represent a vector, and how many files a query walks.
+SAMPLE, PIVOTS, LENGTH, WALK = 1024, 256, 128, 32
 #: Rows of a shard of the index and of a block of queries: bounds on a task's memory.
-SHARD, BLOCK = 8192, 1024
+SHARD, BLOCK = 8192, 16384
 #: Part of a shard's vectors that are ranked again; besides them all whose agreement with the
 #: query's order is so near the full one that order alone cannot tell them apart.
-CANDIDATES, ALIKE = 0.25, 0.75
+CANDIDATES, ALIKE = 0.125, 0.75
 
 
 def orders(vectors: np.ndarray, pivots: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -57,12 +57,13 @@ class Shard:
 
     def search(self, qid: np.ndarray, q: np.ndarray, q_order: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         n, length = len(self.ids), q_order.shape[1]
+        walk = min(WALK, length)
         take = min(n, max(4 * k, int(np.ceil(CANDIDATES * n))))
-        at = np.arange(length, dtype=np.uint8)[:, None]
-        full = length * (length + 1) // 2
+        at = np.arange(walk, dtype=np.uint8)[:, None]
+        full = walk * length - walk * (walk - 1) // 2
         for i in range(len(qid)):
-            # Footrule: a pivot that both orders hold brings them nearer by twice its distance to the end.
-            gain = length * length - np.maximum(self.files[q_order[i]], at).sum(axis=0, dtype=np.int32)
+            # Footrule: a pivot that both orders hold brings them nearer by its distance to the end in either.
+            gain = walk * length - np.maximum(self.files[q_order[i, :walk]], at).sum(axis=0, dtype=np.int32)
             least = min(np.partition(gain, n - take)[n - take], int(ALIKE * full))
             chosen = np.flatnonzero(gain >= least)  # ties are never cut
             chosen = chosen[self.ids[chosen] != qid[i]]
@@ -78,7 +79,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     id. Null or zero vectors, vectors with a null, NaN or infinite component and
     null ids take no part,
     nor do vectors of another length than most; a query never finds its own id. Vectors that repeat
-    an id are separate candidates. Empty tables give no rows.
+    an id are separate candidates; of query rows that repeat an id the least vector asks. Empty tables
+    give no rows; columns other than the two are ignored, whatever their names.
     """
     ws = Workspace(vectors.sparkSession, "ann")
 
@@ -98,7 +100,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     picked = own.select("v", F.xxhash64("v").alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(SAMPLE).collect()
     pivots = choose_pivots(np.array([r["v"] for r in picked], float))
     shards = max(1, -(-n // SHARD))
-    asked = sound(queries).filter(alike)
+    asked = ws.save(sound(queries).filter(alike).groupBy("id").agg(F.min("v").alias("v")), "asked")
     blocks = max(1, -(-asked.count() // BLOCK))
     # One row a vector and block of queries, one a query and shard: a task holds one shard and one block.
     index = own.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
