@@ -1,12 +1,14 @@
-"""Finds test items inside documents: size-partitioned MinHash containment, then exact containment.
-
-Documents are partitioned by the power of two above their number of shingles.
-A document's signature is a one-permutation MinHash with several slots per
-shingle of its partition's bound, so that a shingle of a short item keeps its
-own slot even inside a very long document. Items share a slot's minimum with
-the documents that may contain them; these pairs are verified on the exact
-shingles. All of it is built-in functions.
-
+"""Finds test items inside documents: size-partitioned MinHash containment search, then exact containment.
+
+An item's sketch is its bottom hashes: of n distinct shingles the
+``n - ceil(n * percent / 100) + 1`` least. A document that holds enough of an
+item misses fewer than that, so it holds one of the sketch at least: no item is
+lost, whatever its length. Items are partitioned by the power of two above n. A
+partition has a bound that none of its sketches passes, about a quarter of all
+hashes for long items, and a least number of shingles that a document needs to
+hold one of its items; a document's own sketch is what lies under the bounds of
+the partitions it can hold. Documents whose sketch meets an item's are verified
+on the exact shingles. All of it is built-in functions.
 
 Arrays are exploded with their empty rows kept: else the optimizer's own filter
 on the array's size would compute every array twice, and inside its lambdas.
@@ -20,9 +22,6 @@ from pyspark.sql import functions as F
 from starloom.llm.common import SPACE, Workspace, small
 
 WIDTH, PERCENT = 5, 80
-#: Signature slots for each shingle of a size partition's bound, as a power of two: so
-#: many that an item of a single shingle is lost once in 2000 times, one of two never.
-SLOT_BITS = 10
 
 
 def words(text: F.Column) -> F.Column:
@@ -40,13 +39,17 @@ def shingles(w: F.Column, width: int) -> F.Column:
     )
 
 
-def _hashes(w: F.Column, width: int) -> F.Column:
-    """64-bit hashes of ``shingles`` without making their texts."""
-    n = F.size(w) - width + 1
-    out = F.when(F.size(w) == 0, F.array().cast("array<bigint>"))
-    for few in range(1, width):  # as a shingle of that width would be hashed
-        out = out.when(F.size(w) == few, F.array(F.xxhash64(*(F.get(w, F.lit(k)) for k in range(few)))))
-    return out.otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(width)))))
+def word_hashes(w: F.Column) -> F.Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _hashes(v: F.Column, width: int) -> F.Column:
+    """64-bit hashes of ``shingles``, from the words' own hashes; fewer words as a shingle of that width."""
+    n = F.size(v) - width + 1
+    out = F.when(F.size(v) == 0, F.array().cast("array<bigint>"))
+    for few in range(1, width):
+        out = out.when(F.size(v) == few, F.array(F.xxhash64(*(F.get(v, F.lit(k)) for k in range(few)))))
+    return out.otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.get(v, i + k) for k in range(width)))))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -59,23 +62,25 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     """
     ws = Workspace(docs.sparkSession, "decontaminate")
     own = items.select(F.col(item_col).alias("item"), F.xxhash64(F.col(item_text)).alias("ih"), words(F.col(item_text)).alias("w")).filter(F.size("w") > 0)
-    own = own.withColumn("short", F.size("w") < width)
-    listed = own.select("item", "ih", "short", F.size("w").alias("n_words"), F.explode(F.array_distinct(shingles(F.col("w"), width))).alias("s"), F.size(F.array_distinct(shingles(F.col("w"), width))).alias("n")).distinct()
-    hashes = own.select("item", "ih", F.explode(_hashes(F.col("w"), width)).alias("h")).distinct()
+    own = own.select("*", F.least(F.size("w"), F.lit(width)).alias("k"))
+    listed = own.select("item", "ih", "k", F.explode(F.array_distinct(shingles(F.col("w"), width))).alias("s"), F.size(F.array_distinct(shingles(F.col("w"), width))).alias("n")).distinct()
     items_of = ws.save(listed, "items")
-    wanted = ws.save(hashes.select("h").distinct(), "hashes")
-    lengths = [r["n_words"] for r in items_of.filter("short").select("n_words").distinct().collect()]  # fewer than width of them
+    sketch = F.expr(f"slice(h, 1, size(h) - cast(ceil(size(h) * {percent} / 100) as int) + 1)")
+    sketched = own.select("item", "ih", "k", F.sort_array(F.array_distinct(_hashes(word_hashes(F.col("w")), width))).alias("h"))
+    sketched = ws.save(sketched.select("k", F.size("h").alias("n"), sketch.alias("h")), "sketches")
+    wanted = ws.save(sketched.select(F.explode("h").alias("h")).distinct(), "hashes")
+    part = F.ceil(F.log2(F.col("n").cast("double"))).alias("part")
+    need = F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
+    parts = sketched.groupBy("k", part).agg(F.max(F.element_at("h", -1)).alias("bound"), F.min(need).alias("need")).collect()  # one row a power of two and short length
 
     text = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), words(F.col(text_col)).alias("w"))
-    found = []
-    # Items shorter than a shingle are looked for at their own length.
-    for k in [width, *lengths]:
-        signed = text.select("id", "th", _hashes(F.col("w"), k).alias("h")).select("id", "th", F.sort_array("h").alias("o"))
-        signed = signed.select("id", "th", _signature(F.col("o")).alias("m"))
-        found.append(signed.select("id", "th", F.explode_outer("m").alias("h")).join(small(wanted), "h").select("id", "th").distinct())
-    hit = found[0]
-    for more in found[1:]:
-        hit = hit.union(more).distinct()
+    # Items shorter than a shingle are looked for at their own length, in the same pass.
+    lengths = sorted({r["k"] for r in parts} - {width})
+    bounds = {k: _bound(F.size("w") - k + 1, [r for r in parts if r["k"] == k]) for k in [width, *lengths]}
+    hashed = text.select("id", "th", word_hashes(F.col("w")).alias("v"), *(b.alias(f"b{k}") for k, b in bounds.items()))
+    held = [_under(_hashes(F.col("v"), k), F.col(f"b{k}")) for k in bounds]
+    found = hashed.select("id", "th", (F.flatten(F.array(*held)) if lengths else held[0]).alias("m"))
+    hit = found.select("id", "th", F.explode_outer("m").alias("h")).join(small(wanted), "h").select("id", "th").distinct()
     hit = ws.save(hit, "candidates")
 
     n_hit = small(hit.select(F.col("id").alias("hid"), F.col("th").alias("hth")))
@@ -88,11 +93,10 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     return matched.groupBy(F.col("id").alias(id_col), "th", F.col("item").alias(item_col)).agg(best).select(id_col, "th", item_col, F.col("b.n").alias("n_shingles"), F.col("b.f").alias("n_found"))
 
 
-def _signature(ordered: F.Column) -> F.Column:
-    """Of sorted hashes, the least of each used slot. A slot is a hash's leading bits: those of the size partition and ``SLOT_BITS`` more."""
-    bits = F.ceil(F.log2(F.greatest(F.size(ordered), F.lit(1)).cast("double"))).cast("int") + SLOT_BITS
+def _bound(n: F.Column, parts: list) -> F.Column:
+    """The greatest bound of the partitions whose need a text of ``n`` shingles meets; null if there is none."""
+    return F.greatest(F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), *(F.when(n >= r["need"], F.lit(r["bound"])) for r in parts))
 
-    def slot(h: F.Column) -> F.Column:
-        return F.call_function("shiftright", h, 64 - bits)
 
-    return F.filter(ordered, lambda h, i: (i == 0) | (slot(h) != slot(F.get(ordered, i - 1))))
+def _under(hashes: F.Column, bound: F.Column) -> F.Column:
+    return F.filter(F.when(bound.isNotNull(), hashes).otherwise(F.array().cast("array<bigint>")), lambda h: h <= bound)
