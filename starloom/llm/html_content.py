@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm import html_training
+from starloom.llm.common import free_name
 from starloom.llm.html_tree import Node, parse
 
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -114,9 +115,12 @@ def main_text(page: str | None, model: Model | None = None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", text: str = "text", chars: str = "n_chars") -> DataFrame:
     """The columns of ``pages`` but its html, with ``text`` and ``chars`` (code points) added.
 
-    Null and empty pages give empty text. Other columns pass through; ``text``
-    and ``chars`` must not be among them. No rows: no rows.
+    Null and empty pages give empty text. Other columns pass through, repeated
+    rows give equal rows, and a new name that a column has gets underscores
+    before it. No rows: no rows.
     """
+    others = pages.drop(html_col)
+    text, chars = free_name(others, text), free_name(others, chars)
     keys = [c for c in pages.columns if c != html_col]
     schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keys), f"`{text}` string", f"`{chars}` bigint"])
 

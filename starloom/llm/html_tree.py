@@ -44,6 +44,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(nodes, blocks): nodes in page order, parents first; blocks are (node, text) with white space made single."""
     nodes = [Node(-1, "#root", "", None)]
     stack = [("#root", 0)]  # every open element and the block it belongs to
+    open_at: dict[str, list[int]] = {}  # by tag, the places of its open elements in the stack
     blocks: list[tuple[int, str]] = []
     parts: list[str] = []
     linked = [0]
@@ -66,6 +67,10 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             parts.clear()
         linked[0] = 0
 
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            open_at[stack.pop()[0]].pop()
+
     at, anchors, foreign = 0, 0, False
     unclosed: set[str] = set()
     for m in iter(lambda: TOKEN.search(source, at), None):
@@ -84,11 +89,10 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 foreign = False
             if tag in INLINE or tag in FOREIGN:
                 continue
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth:
+            if open_at.get(tag):
                 foreign = False
                 close()
-                del stack[depth:]
+                cut(open_at[tag][-1])
                 anchors = 0
             continue
         if tag in RAW:
@@ -119,20 +123,18 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in VOID:
             continue
         kinds, walls = ENDS.get(tag, ({"p"}, {"td", "th", "li", "div", "section", "article"}))
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in kinds:
-                del stack[i:]
-                break
-            if stack[i][0] in walls:
-                break
+        nearest = max((open_at[t][-1] for t in kinds if open_at.get(t)), default=0)
+        if nearest and nearest > max((open_at[t][-1] for t in walls if open_at.get(t)), default=0):
+            cut(nearest)
         values = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3].strip(" /") else {}
         names = " ".join(values.get(k, "") for k in ("id", "class", "role", "itemprop", "aria-label")) if values else ""
         if values and ("hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I)):
             names += " hidden-element"
         nodes.append(Node(stack[-1][1], tag, names, values.get("data-main")))
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append((tag, len(nodes) - 1))
         if m[3].rstrip().endswith("/") and not values:
-            stack.pop()
+            cut(len(stack) - 1)
     text(source[at:])
     close()
     return nodes, blocks

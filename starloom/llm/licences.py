@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.llm.common import free_name
+
 # Licence sentences in normalised form (lower case, single spaces, letters and digits only), by identifier.
 SENTENCES = {
     "Apache2": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "this file is licensed to you under the apache license version 2 0 the license"],
@@ -74,8 +76,13 @@ def scan(docs: DataFrame, text_col: str = "text", licences: str = "licences", se
     the number of licence sentences recognised, and the identifiers no rule took.
 
     Null and empty texts have none. Repeated rows give equal results. Other
-    columns pass through; the three new names must not be among them.
+    columns pass through; a new name that one of them has gets underscores
+    before it. No rows: no rows.
     """
+    others = docs.drop(text_col)
+    licences, sentences, rest = (free_name(others, c) for c in (licences, sentences, rest))
+    own = [free_name(others, c) for c in ("ids", "n_found", *(f"left_{k}" for k in range(len(RULES) + 1)))]
+    found_ids, found_n, left = own[0], own[1], own[2:]
     known = F.create_map(*(F.lit(x) for pair in _known() for x in pair))
     keys = [c for c in docs.columns if c != text_col]
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
@@ -85,15 +92,15 @@ def scan(docs: DataFrame, text_col: str = "text", licences: str = "licences", se
     every = sorted((s for s, _ in _known()), key=lambda s: (-len(s), s))
     pattern = r"(?<=\|)(?:" + "|".join(s.replace(" ", "[ |]") for s in every) + r")(?=\|)"
     near = F.when(F.rlike(text, F.lit(HINTS)), F.regexp_extract_all(F.concat(F.lit("|"), F.trim(words), F.lit("|")), F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    ids = docs.select(*keys, F.transform(near, lambda s: F.element_at(known, F.translate(s, "|", " "))).alias("_ids"))
-    out = ids.select(*keys, F.size("_ids").cast("bigint").alias("_n"), F.concat(F.lit(""), F.array_join(F.transform("_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")).alias("_r0"))
+    ids = docs.select(*keys, F.transform(near, lambda s: F.element_at(known, F.translate(s, "|", " "))).alias(found_ids))
+    out = ids.select(*keys, F.size(found_ids).cast("bigint").alias(found_n), F.concat(F.lit(""), F.array_join(F.transform(found_ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")).alias(left[0]))
     hits = []
     for k, (name, rule) in enumerate(RULES):
         pattern = "".join(f"<{i}>" for i in rule)
-        out = out.withColumn(f"_r{k + 1}", F.replace(F.col(f"_r{k}"), F.lit(pattern), F.lit("|")))
-        hits.append(F.when(F.contains(F.col(f"_r{k}"), F.lit(pattern)), F.lit(name)))
+        out = out.withColumn(left[k + 1], F.replace(F.col(left[k]), F.lit(pattern), F.lit("|")))
+        hits.append(F.when(F.contains(F.col(left[k]), F.lit(pattern)), F.lit(name)))
     found = F.array_join(F.array_distinct(F.array(*hits)), " ")
-    return out.select(*keys, found.alias(licences), F.col("_n").alias(sentences), F.replace(F.col(f"_r{len(RULES)}"), F.lit("|"), F.lit("")).alias(rest))
+    return out.select(*keys, found.alias(licences), F.col(found_n).alias(sentences), F.replace(F.col(left[-1]), F.lit("|"), F.lit("")).alias(rest))
 
 
 def oracle() -> str:

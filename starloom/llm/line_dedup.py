@@ -54,8 +54,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text stays null; a text of fewer than ``window`` lines stays whole; a
     text that loses every line becomes empty. Rows that repeat both id and text
-    get the same result. Other columns pass through. No rows: no rows.
+    get the same result. Other columns pass through; if ``removed`` is one of
+    them the new one gets underscores before it. A window may repeat onto itself
+    (A B A B A): its later start goes with all three lines, those of the first
+    occurrence that it overlaps among them. No rows: no rows.
     """
+    removed = removed and free_name(docs, removed)
     ws = Workspace(docs.sparkSession, "lines")
     covered = ws.save(repeated_lines(docs, id_col, text_col, window), "covered")
     total = covered.agg(F.coalesce(F.sum(F.size("covered") + 4), F.lit(0)).alias("n")).first()["n"]

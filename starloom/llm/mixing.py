@@ -71,12 +71,13 @@ def source_targets(ws: Workspace, sized: DataFrame) -> DataFrame:
     ranged = totals.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source")
     ranged = ws.save(ranged.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")), "sources")
     counts = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a partition
-    before, offset = 0, F.lit(0)
+    before, offsets = 0, []
     for part, n in counts:
-        offset = F.when(F.col("part") == part, F.lit(before)).otherwise(offset)
+        offsets.append((part, before))
         before += n
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.col("at") + offset, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    weighed = ws.save(ranged.select("source", "n", "source_size", weight.alias("weight")), "weighed")
+    offset = ws.spark.createDataFrame(offsets, "part int, before bigint")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.col("at") + F.col("before"), F.lit(len(WEIGHTS))) + 1).cast("int"))
+    weighed = ws.save(ranged.join(F.broadcast(offset), "part").select("source", "n", "source_size", weight.alias("weight")), "weighed")
     level, capped = 0.0, -1
     while True:
         full = F.col("weight") * level > MOST * F.col("source_size")
@@ -103,7 +104,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ws = Workspace(docs.sparkSession, "mix")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
     th = F.when(F.col(text_col).isNotNull(), F.xxhash64(F.col(text_col)))
-    sized = ws.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), th.alias("th"), size.alias("size")), "sized")
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), th.alias("th"), size.alias("size"))
+    # Rows equal in all get numbers, so that they can be dealt to different blocks; counted first, so a hot one is no hot group.
+    counted = sized.groupBy("id", "source", "th", "size").agg(F.count("*").alias("m"))
+    sized = ws.save(counted.select("id", "source", "th", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))).alias("copy")), "sized")
     targets = ws.save(source_targets(ws, sized), "targets")
     joined = sized.join(small(targets, 50_000), sized["source"].eqNullSafe(targets["source"])).select(sized["*"], "n", "source_size", "target")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -134,14 +138,12 @@ def _balance(rows: DataFrame, level: int, widest: int, last: bool) -> DataFrame:
     """One flight over every block of every source; landing too, where a source is one block."""
     most = max(1, math.ceil(widest / BLOCK))
     blocks = F.least(F.lit(most), F.ceil(F.col("n") / F.lit(BLOCK))).cast("int")
-    block = F.pmod(F.xxhash64("id", "th", "size", F.lit(level)), F.greatest(blocks, F.lit(1)))
+    block = F.pmod(F.xxhash64("id", "th", "size", "copy", F.lit(level)), F.greatest(blocks, F.lit(1)))
     dealt = rows.withColumn("block", block.cast("int"))
     columns = rows.columns
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table["id"].combine_chunks()
-        order = np.lexsort((table["th"].fill_null(0).to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null())))
-        table = table.take(pa.array(order))
+        table = table.sort_by([("id", "ascending"), ("th", "ascending"), ("copy", "ascending")])  # nulls last
         size, p = table["size"].to_numpy(), table["p"].to_numpy()
         rng = np.random.default_rng([level, int(size.sum()) & 0xFFFFFFFF, len(size), int(table["block"][0].as_py())])
         perm = rng.permutation(len(size))

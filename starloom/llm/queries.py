@@ -37,11 +37,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The tables hold neither fetch times nor lists, so the query makes both by rule: a page is
-#: fetched on a day of 2024 drawn from its id; every list entry's dates are drawn from its key.
+#: fetched on a day of 2024 drawn from its id; every list entry's dates are drawn from its key's MD5.
 URL_LISTS = """
-SELECT 'hosts' AS list, '||' || host AS key, 'deny' AS verdict, action, make_date(2024, 1, 1) + cast(pmod(crc32(encode(host, 'utf-8')) + n * 45, 366) AS int) AS at
-FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages WHERE url IS NOT NULL),
-     (VALUES (0, 'add'), (3, 'remove'), (4, 'add')) AS v(n, action) WHERE crc32(encode(host, 'utf-8')) % 3 = 0
+SELECT 'hosts' AS list, '||' || host AS key, 'deny' AS verdict, v.action, make_date(2024, 1, 1) + cast(pmod(code + v.n * 45, 366) AS int) AS at
+FROM (SELECT host, code, explode(array(struct(0 AS n, 'add' AS action), struct(3 AS n, 'remove' AS action), struct(4 AS n, 'add' AS action))) AS v
+      FROM (SELECT host, cast(conv(substr(md5(host), 1, 6), 16, 10) AS bigint) AS code
+            FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages WHERE url IS NOT NULL)) WHERE code % 3 = 0)
 UNION ALL SELECT * FROM VALUES
   ('topics', '||casino-win.example.com', 'deny', 'add', DATE '2024-02-01'), ('topics', '||casino-win.example.com', 'deny', 'remove', DATE '2024-08-01'),
   ('topics', '||cheap-pills.example.com', 'deny', 'add', DATE '2024-04-01'), ('topics', '||free-bets.example.com', 'deny', 'add', DATE '2023-01-01'),
@@ -119,6 +120,29 @@ SELECT doc_id, item_id, n AS n_shingles, f AS n_found FROM m JOIN n ON n.id = m.
 """
 
 
+URL_LISTS_SQL = r"""
+WITH h AS (SELECT host, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS code FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages WHERE url IS NOT NULL)),
+raw AS (SELECT 'hosts' AS list, '||' || host AS key, 'deny' AS verdict, action, DATE '2024-01-01' + CAST((code + n * 45) % 366 AS INTEGER) AS day
+        FROM h, (VALUES (0, 'add'), (3, 'remove'), (4, 'add')) AS v(n, action) WHERE code % 3 = 0
+        UNION ALL SELECT * FROM (VALUES
+          ('topics', '||casino-win.example.com', 'deny', 'add', DATE '2024-02-01'), ('topics', '||casino-win.example.com', 'deny', 'remove', DATE '2024-08-01'),
+          ('topics', '||cheap-pills.example.com', 'deny', 'add', DATE '2024-04-01'), ('topics', '||free-bets.example.com', 'deny', 'add', DATE '2023-01-01'),
+          ('regions', '||example.net', 'deny', 'add', DATE '2024-06-01'), ('regions', '||example.net', 'deny', 'remove', DATE '2024-07-15'),
+          ('regions', '||www.thering.example.org', 'allow', 'add', DATE '2024-01-15'))),
+entry AS (SELECT DISTINCT list, regexp_replace(lower(key), '\.+$', '') AS key, verdict, action, day FROM raw),
+span AS (SELECT list, key, verdict, action, day AS since, lead(day) OVER (PARTITION BY list, key, verdict ORDER BY day, CASE action WHEN 'remove' THEN 0 ELSE 1 END) AS until FROM entry),
+live AS (SELECT list, key, verdict, since, until FROM span WHERE action = 'add' AND (until IS NULL OR until > since)),
+c AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 7919 % 366 AS INTEGER) AS fetched_at FROM pages),
+u AS (SELECT DISTINCT url, fetched_at FROM c WHERE url IS NOT NULL AND fetched_at IS NOT NULL),
+host AS (SELECT *, string_split(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.\-]*://', ''), '(?s)[?#].*$', ''), '^[^/]*')), '^[^@]*@', ''), ':[0-9]*$', ''), '\.+$', ''), '.') AS l FROM u),
+k AS (SELECT url, fetched_at, '||' || array_to_string(l[i:], '.') AS key FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM host WHERE l <> [''])),
+best AS (SELECT url, fetched_at, k.key, list, verdict, row_number() OVER (PARTITION BY url, fetched_at ORDER BY length(k.key) DESC, CASE verdict WHEN 'deny' THEN 0 ELSE 1 END, list, k.key, verdict) AS r
+         FROM k JOIN live ON live.key = k.key AND since <= fetched_at AND (until IS NULL OR fetched_at < until))
+SELECT c.page_id, c.url, c.fetched_at, coalesce(verdict, 'none') AS verdict, best.key AS matched_key, list AS matched_list
+FROM c LEFT JOIN best ON best.url = c.url AND best.fetched_at = c.fetched_at AND r = 1
+"""
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
@@ -132,4 +156,4 @@ FROM p LEFT JOIN g USING (payload_digest)
 def oracle_sql() -> dict[str, str]:
     from starloom.llm import licences
 
-    return {"op2_licences": licences.oracle(), "op4_warc": WARC_SQL, "op6_decontamination": DECONTAMINATION_SQL, "op1_line_dedup": LINE_DEDUP_SQL}
+    return {"op2_licences": licences.oracle(), "op4_warc": WARC_SQL, "op5_url_lists": URL_LISTS_SQL, "op6_decontamination": DECONTAMINATION_SQL, "op1_line_dedup": LINE_DEDUP_SQL}

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starloom.llm.common import free_name
+
 #: At most so many labelled rows of either class teach the model (those of least hash).
 TRAIN_ROWS = 3000
 #: Bytes of the toxic part, of the ordinary part they share, and remembered words of a task.
@@ -245,8 +247,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     """``docs`` with a double ``name``: 0 to 1, higher the likelier toxic; every window of every text counts.
 
     Null and empty texts get the score of no windows at all. Other columns pass
-    through; ``name`` must not be one of them.
+    through; if ``name`` is one of them the new one gets underscores before it.
     """
+    name = free_name(docs, name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     columns = docs.columns
     held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of under 64 kB

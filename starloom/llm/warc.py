@@ -22,18 +22,22 @@ from pyspark.sql import functions as F
 
 from starloom.llm.common import Workspace, small
 
-#: Bytes of a reader's range, of a read, and the longest record header that is accepted.
-SPLIT, CHUNK, HEADER = 8 << 20, 1 << 18, 1 << 16
+#: Bytes of a reader's range and of a read, and ranges of a task at most.
+SPLIT, CHUNK, RANGES = 8 << 20, 1 << 18, 64
 #: Payloads from this size on are written once.
 REVISIT_BYTES = 1000
 MAGIC = b"\x1f\x8b\x08"
+#: Names that Spark has for stores which Arrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+FIRST = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 DATE = "2000-01-01T00:00:00Z"
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    scheme, mark, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}") if mark else (fs.LocalFileSystem(), uri)
 
 
 def _uuid(*parts: object) -> str:
@@ -96,100 +100,125 @@ def write(pages: DataFrame, directory: str, ws: Workspace, id_col: str = "page_i
 
 
 class _Window:
-    """Sequential reading of a file from some place on, a chunk at a time."""
+    """Sequential reading of a file from some place on, a chunk at a time; ``at`` is where ``held[begin:]`` starts."""
 
     def __init__(self, file: pa.NativeFile, at: int, size: int):
-        self.file, self.at, self.size, self.held = file, at, size, b""
-        file.seek(at)
+        self.file, self.size = file, size
+        self.seek(at)
+
+    def seek(self, at: int) -> None:
+        self.at, self.begin, self.held = at, 0, b""
+        self.file.seek(at)
 
     def more(self) -> bool:
-        got = self.file.read(CHUNK) if self.at + len(self.held) < self.size else b""
-        self.held += got
+        got = self.file.read(CHUNK) if self.at + len(self.held) - self.begin < self.size else b""
+        if got:
+            self.held, self.begin = self.held[self.begin :] + got, 0
         return bool(got)
 
     def skip(self, n: int) -> None:
-        self.held, self.at = self.held[n:], self.at + n
+        self.begin, self.at = self.begin + n, self.at + n
+
+    def left(self) -> int:
+        return len(self.held) - self.begin
 
 
-def _member(window: _Window) -> tuple[dict[str, str], int, str, bytes] | None:
-    """Inflates the member at the window's start: header, payload size, SHA-1, HTTP head; None if it is no record."""
-    unpack, head, offset = zlib.decompressobj(31), b"", 0
-    sha, size, body, left, fields, http = hashlib.sha1(usedforsecurity=False), 0, b"", 0, None, None
+class _Payload:
+    """Digest and size of a record's payload: what follows the HTTP head, or the whole block of another type."""
 
-    def take(data: bytes) -> None:
-        nonlocal size, left, http, body
-        data = data[:left]
-        left -= len(data)
-        if http is None:
-            body += data
-            end = body.find(b"\r\n\r\n")
+    def __init__(self, fields: dict[str, str]):
+        self.left = int(fields["content-length"])
+        self.http = b"" if fields.get("content-type", "").lower().startswith("application/http") else None
+        self.body, self.headed = self.http is None, bytearray()
+        self.sha, self.size = hashlib.sha1(usedforsecurity=False), 0
+
+    def take(self, data: bytes) -> None:
+        data = data[: self.left]
+        self.left -= len(data)
+        if not self.body:
+            start = max(0, len(self.headed) - 3)
+            self.headed += data
+            end = self.headed.find(b"\r\n\r\n", start)
             if end < 0:
                 return
-            http, data, body = body[: end + 4], body[end + 4 :], b""
-        sha.update(data)
-        size += len(data)
+            self.http, data, self.body = bytes(self.headed[: end + 4]), bytes(self.headed[end + 4 :]), True
+            self.headed = bytearray()
+        self.sha.update(data)
+        self.size += len(data)
+
 
+def _member(window: _Window) -> tuple[dict[str, str], _Payload] | None:
+    """Inflates the member at the window's start and goes behind it; None, and no step, if it is no record.
+
+    What does not begin with a WARC line is given up at once; a header that
+    does is read to its end, however long. An HTTP head is held in memory, a
+    payload is not.
+    """
+    begin, unpack, head, fields, payload, seen = window.at, zlib.decompressobj(31), bytearray(), None, None, 0
     while not unpack.eof:
-        if offset >= len(window.held) and not window.more():
+        if not window.left() and not window.more():
+            window.seek(begin)
             return None
-        piece = window.held[offset : offset + CHUNK]
+        piece = window.held[window.begin : window.begin + CHUNK]
         try:
             data = unpack.decompress(piece)
         except zlib.error:
+            window.seek(begin)
             return None
-        offset += len(piece) - len(unpack.unused_data)
-        if fields is None:
-            head += data
-            end = head.find(b"\r\n\r\n")
-            if not b"WARC/1.".startswith(head[:7]) and not head.startswith(b"WARC/1.") or end < 0 and len(head) > HEADER:
-                return None
-            if end >= 0:
-                lines = head[:end].decode("utf-8", "replace").split("\r\n")[1:]
-                fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-                if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
-                    return None
-                left, data = int(fields["content-length"]), head[end + 4 :]
-                take(data)
-        else:
-            take(data)
-        if offset > 4 * CHUNK and not unpack.eof:  # a long record is not kept in memory once it is known to be one
-            if fields is None:
+        window.skip(len(piece) - len(unpack.unused_data))
+        if fields is not None:
+            payload.take(data)
+            continue
+        head += data
+        if not any(x.startswith(head[: len(x)]) for x in FIRST):
+            window.seek(begin)
+            return None
+        end = head.find(b"\r\n\r\n", max(0, seen - 3))
+        seen = len(head)
+        if end >= 0:
+            lines = head[:end].decode("utf-8", "replace").split("\r\n")[1:]
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
+                window.seek(begin)
                 return None
-            window.skip(offset)
-            offset = 0
-    if fields is None or left:
+            payload = _Payload(fields)
+            payload.take(bytes(head[end + 4 :]))
+    if fields is None or payload.left:
+        window.seek(begin)
         return None
-    window.skip(offset)
-    return fields, size, sha.hexdigest(), http or b""
+    return fields, payload
 
 
 def scan(uri: str, start: int, end: int, size: int) -> Iterator[tuple]:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of the records that start in [start, end)."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of the captures that start in [start, end).
+
+    Captures are responses, revisits and resources; other records, as foreign
+    archives hold them, are passed over.
+    """
     system, path = _place(uri)
     with system.open_input_file(path) as file:
         window = _Window(file, start, size)
         while window.at < end:
-            if len(window.held) < 3:
-                window.more()
-            found = window.held.find(MAGIC)
+            found = window.held.find(MAGIC, window.begin)
             if found < 0:
-                if len(window.held) <= 2 and not window.more():
-                    return
-                window.skip(max(0, len(window.held) - 2))
+                window.skip(max(0, window.left() - 2))
                 if not window.more():
                     return
                 continue
-            window.skip(found)
+            window.skip(found - window.begin)
             if window.at >= end:
                 return
             got = _member(window)
             if got is None:
                 window.skip(1)
                 continue
-            fields, n, digest, http = got
+            fields, payload = got
             kind = fields["warc-type"]
+            if kind not in ("response", "revisit", "resource"):
+                continue
+            n, digest = payload.size, payload.sha.hexdigest()
             if kind == "revisit":
-                lengths = [x.split(b":", 1)[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                lengths = [x.split(b":", 1)[1].strip() for x in (payload.http or b"").split(b"\r\n") if x.lower().startswith(b"content-length:")]
                 n = int(lengths[0]) if lengths else 0
                 algorithm, _, value = fields.get("warc-payload-digest", "").partition(":")
                 digest = base64.b32decode(value).hex() if algorithm == "sha1" and len(value) == 32 else value.lower()
@@ -198,7 +227,10 @@ def scan(uri: str, start: int, end: int, size: int) -> Iterator[tuple]:
 
 
 def read(spark: SparkSession, archives: DataFrame, split: int = SPLIT) -> DataFrame:
-    """The records of ``archives(path, bytes)``, whatever the ranges."""
+    """The captures of ``archives(path, bytes)``, whatever the ranges; no archives: no rows.
+
+    A task gets up to ``RANGES`` ranges, fewer where that would leave cores idle.
+    """
     ranges = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("bigint"))).alias("start"))
     n = ranges.count()
 
@@ -220,7 +252,8 @@ def read(spark: SparkSession, archives: DataFrame, split: int = SPLIT) -> DataFr
                 if rows:
                     yield batch_of(rows)
 
-    return ranges.repartition(max(1, n)).mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
+    tasks = min(n, max(-(-n // RANGES), 4 * spark.sparkContext.defaultParallelism))
+    return ranges.repartition(max(1, tasks)).mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
