@@ -263,7 +263,8 @@ def _block_links(ws: Workspace, sets: DataFrame, posts: DataFrame, percent: int)
     neither a task's input nor its output grows with the family. Block pairs are
     dealt out anew: rows that a join left together by family would else stay so.
     """
-    chain = posts.join(posts.groupBy("token").agg(F.min("node").alias("hub")), "token").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    hubs = small(ws.save(posts.groupBy("token").agg(F.min("node").alias("hub")), "hubs"))
+    chain = posts.join(hubs, "token").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     family = ws.save(components(ws, chain, "family"), "family").withColumnRenamed("root", "family")
     placed = sets.join(family, "node")
     many = family.join(sets.select("node", F.size("members").alias("size")), "node").groupBy("family").agg(F.count("*").alias("m"), F.sum("size").alias("total"))
