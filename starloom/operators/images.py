@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from starloom.functions import pixels
 
@@ -103,3 +104,63 @@ def auto_stretch(images: DataFrame, keys: list[str], lower: float, upper: float,
         kept = [linked_by]
     s, mid, h = pixels.stretch_params(F.col("m"), F.col("d"))
     return stats.select(*kept, s.alias("shadows"), mid.alias("midtones"), h.alias("highlights"))
+
+
+def debayer_rows(rows: DataFrame, keys: list[str], pattern: Column | str = "RGGB", whole: bool = True) -> DataFrame:
+    """(key..., y, red, green, blue): bilinear colours of the rows ``(key..., y, values)`` of a 2x2 mosaic.
+
+    A sample keeps its own colour; another is the mean of the samples of that
+    colour among its eight neighbours inside the image, exact and rounded half
+    up where samples are whole, over finite ones (NaN if none is) where not. A
+    row needs only the rows above and below it: samples are never single rows.
+    """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    order = W.partitionBy(*keys).orderBy("y")
+    near = rows.select(*keys, "y", "values", F.lag("values").over(order).alias("up"), F.lead("values").over(order).alias("down"), pattern.alias("cfa"))
+    width = F.size("values")
+
+    def colour(c: str) -> Column:
+        at = lambda dy, x: F.substring(F.col("cfa"), F.pmod(F.col("y") + dy, F.lit(2)).cast("int") * 2 + F.pmod(x, F.lit(2)).cast("int") + 1, F.lit(1)) == c
+
+        def one(x: Column) -> Column:
+            terms = []
+            for dy, source in ((-1, "up"), (0, "values"), (1, "down")):
+                for dx in (-1, 0, 1):
+                    if dy or dx:
+                        v = F.get(F.col(source), x + dx)
+                        good = at(dy, x + dx) & v.isNotNull()
+                        terms.append(F.when(good if whole else good & ~F.isnan(v) & (F.abs(v) < float("inf")), v))
+            n = sum((t.isNotNull().cast("int") for t in terms), F.lit(0))
+            total = sum((F.coalesce(t.cast("bigint" if whole else "double"), F.lit(0)) for t in terms), F.lit(0))
+            if whole:  # half up: the sum over n, plus a half, downward
+                mean = F.floor((2 * total + n) / (2 * n)).cast("double")
+            else:
+                mean = F.when(n > 0, total / n).otherwise(F.lit(float("nan")))
+            return F.when(at(0, x), F.get("values", x).cast("double")).otherwise(mean)
+
+        return F.transform(F.sequence(F.lit(0), width - 1), one)
+
+    return near.select(*keys, "y", *(colour(c).alias(n) for c, n in (("R", "red"), ("G", "green"), ("B", "blue"))))
+
+
+def downsample_rows(rows: DataFrame, keys: list[str], height: Column, width: Column, to_height: Column, to_width: Column) -> DataFrame:
+    """(key..., y, values) of area-weighted means, by exact integer shares; rows that are not finite do not count.
+
+    Each row shrinks across by itself; what is shuffled is one partial sum for
+    each output sample and input row, added up before the shuffle.
+    """
+    own = rows.select(*keys, F.col("y").cast("bigint").alias("y"), "values", height.cast("bigint").alias("h"), width.cast("bigint").alias("w"), to_height.cast("bigint").alias("th"), to_width.cast("bigint").alias("tw"))
+    h, w, th, tw = (F.col(c) for c in ("h", "w", "th", "tw"))
+
+    def across(j: Column) -> Column:
+        first, last = F.floor(j * w / tw), F.floor(((j + 1) * w - 1) / tw)
+        part = F.transform(F.sequence(first, last), lambda i: F.struct(F.get("values", i.cast("int")).cast("double").alias("v"), (F.least((i + 1) * tw, (j + 1) * w) - F.greatest(i * tw, j * w)).cast("double").alias("a")))
+        fine = F.filter(part, lambda p: p["v"].isNotNull() & ~F.isnan(p["v"]) & (F.abs(p["v"]) < float("inf")))
+        return F.struct(F.aggregate(fine, F.lit(0.0), lambda s, p: s + p["v"] * p["a"]).alias("s"), F.aggregate(fine, F.lit(0.0), lambda s, p: s + p["a"]).alias("a"))
+
+    narrow = own.select(*keys, "y", "h", "th", F.transform(F.sequence(F.lit(0).cast("bigint"), tw - 1), across).alias("c"))
+    spans = F.transform(F.sequence(F.floor(F.col("y") * th / h), F.floor(((F.col("y") + 1) * th - 1) / h)), lambda j: F.struct(j.alias("to"), (F.least((F.col("y") + 1) * th, (j + 1) * h) - F.greatest(F.col("y") * th, j * h)).alias("b")))
+    cells = narrow.select(*keys, "c", F.explode(spans).alias("o")).select(*keys, F.col("o.to").alias("y"), F.col("o.b").alias("b"), F.posexplode("c").alias("x", "p"))
+    mean = F.coalesce(F.try_divide(F.sum(F.col("p.s") * F.col("b")), F.sum(F.col("p.a") * F.col("b"))), F.lit(float("nan")))
+    out = cells.groupBy(*keys, "y", "x").agg(mean.alias("v"))
+    return bands(out, *keys)

@@ -59,6 +59,13 @@ def _whole(cells: DataFrame) -> DataFrame:
     return cells.withColumn("v", F.floor((F.col("v") + 1) * 1000).cast("bigint"))
 
 
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images' rows of whole samples, without a shuffle: (image, y, values)."""
+    whole = F.transform("values", lambda v: F.floor((v + 1) * 1000).cast("double"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.struct(y.alias("y"), F.slice("v", y * 8 + 1, 8).alias("values")))
+    return _images(spark, sf_dir).select("image", whole.alias("v")).select("image", F.inline(rows))
+
+
 _WHOLE = f"{_PX}, q AS (SELECT image, channel, y, x, CAST(floor((v + 1) * 1000) AS BIGINT) AS v FROM px)"
 
 # --- statistics and stretches -------------------------------------------------------------
@@ -184,8 +191,9 @@ SELECT image, a.j AS y, b.j AS x, round(CAST(sum(v * a.w * b.w) AS DOUBLE) / CAS
 
 
 def _smaller(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    cells = _whole(_samples(spark, sf_dir)).withColumn("v", F.col("v").cast("double"))
-    return im.downsample(cells, ["image"], (8, 8), (n, n)).withColumn("v", F.round("v", 9))
+    small = im.downsample_rows(_rows(spark, sf_dir), ["image"], F.lit(8), F.lit(8), F.lit(n), F.lit(n))
+    cells = small.select("image", F.col("y").cast("int").alias("y"), F.posexplode("values").alias("x", "v"))
+    return cells.withColumn("v", F.round("v", 9))
 
 
 @_query(_area(4))
@@ -203,7 +211,10 @@ o AS (SELECT CAST(a AS INT) AS dy, CAST(b AS INT) AS dx FROM (SELECT unnest(rang
 t AS (SELECT image, y + dy AS y, x + dx AS x, v, colour, dy = 0 AND dx = 0 AS own FROM c, o WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7)
 SELECT image, y, x, colour, CAST(coalesce(max(CASE WHEN own THEN v END), (sum(v) + count(*) // 2) // count(*)) AS BIGINT) AS v FROM t GROUP BY image, y, x, colour""")
 def debayer_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return im.debayer(_whole(_samples(spark, sf_dir)), ["image"], (8, 8))
+    made = im.debayer_rows(_rows(spark, sf_dir), ["image"])
+    planes = F.array(*(F.struct(F.lit(c).alias("colour"), F.col(n).alias("values")) for c, n in (("R", "red"), ("G", "green"), ("B", "blue"))))
+    planes = made.select("image", "y", F.inline(planes))
+    return planes.select("image", "y", "colour", F.posexplode("values").alias("x", "v")).withColumn("v", F.col("v").cast("bigint"))
 
 
 @_query(f"WITH {_PX} SELECT image, y, x, v FROM px WHERE (y * 8 + x) % 5 = 0")

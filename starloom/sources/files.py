@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -24,14 +26,60 @@ def read_range(uri: str, offset: int = 0, size: int | None = None) -> bytes:
 
 
 def listing(uri: str, endings: tuple[str, ...]) -> list[str]:
-    """The file itself, or a folder's files of those endings, sorted; hidden names are passed over."""
-    system, path = place(uri)
-    info = system.get_file_info(path)
-    if info.type == fs.FileType.File:
-        return [uri]
-    head = uri[: len(uri) - len(path)]
-    found = system.get_file_info(fs.FileSelector(path, recursive=True))
-    return sorted(head + x.path for x in found if x.type == fs.FileType.File and x.base_name.lower().endswith(endings) and not any(p.startswith(".") for p in x.path[len(path) :].split("/")))
+    """The file itself, or a folder's files of those endings, sorted; hidden names are passed over.
+
+    Several inputs stand one a line; patterns know only ``*`` and ``?``. What
+    is mentioned twice counts once, at its first place.
+    """
+    out: dict[str, None] = {}
+    for one in uri.split("\n"):
+        system, path = place(one)
+        head = one[: len(one) - len(path)]
+        if ("*" in path or "?" in path) and system.get_file_info(path).type == fs.FileType.NotFound:
+            out |= dict.fromkeys(head + x for x in _matching(system, path, endings))
+            continue
+        info = system.get_file_info(path)
+        if info.type == fs.FileType.File:
+            out[one] = None
+            continue
+        found = system.get_file_info(fs.FileSelector(path, recursive=True))
+        names = (x for x in found if x.type == fs.FileType.File and x.base_name.lower().endswith(endings) and not any(p.startswith(".") for p in x.path[len(path) :].split("/")))
+        out |= dict.fromkeys(sorted(head + x.path for x in names))
+    return list(out)
+
+
+def _matching(system: fs.FileSystem, pattern: str, endings: tuple[str, ...]) -> list[str]:
+    """The files, and in matching folders the files of those endings; a leading dot must be given."""
+    parts, found = pattern.split("/"), [""]
+    for i, part in enumerate(parts):
+        if "*" not in part and "?" not in part:
+            found = [f"{f}/{part}" if i else part for f in found]
+            continue
+        test = re.compile("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in part), re.S)
+        inside = (x for f in found for x in system.get_file_info(fs.FileSelector(f or "/", allow_not_found=True)))
+        found = [x.path for x in inside if test.fullmatch(x.base_name) and (x.base_name[0] != "." or part[0] == ".")]
+    out = []
+    for f in sorted(found):
+        kind = system.get_file_info(f).type
+        out += [f] if kind == fs.FileType.File else listing(f, endings) if kind == fs.FileType.Directory else []
+    return out
+
+
+def detect(uri: str) -> str | None:
+    """fits, asdf, dng or xisf by the first bytes; None for anything else."""
+    start = read_range(uri, 0, 1 << 16)
+    if start.startswith(b"SIMPLE  ="):
+        return "fits"
+    if start.startswith(b"#ASDF"):
+        return "asdf"
+    if start[:4] in (b"II*\0", b"MM\0*"):
+        order = "<" if start[:2] == b"II" else ">"
+        at = struct.unpack(order + "I", start[4:8])[0]
+        count = struct.unpack(order + "H", read_range(uri, at, 2).ljust(2, b"\0"))[0]
+        entries = read_range(uri, at + 2, 12 * count)
+        tags = {struct.unpack(order + "H", entries[i : i + 2])[0] for i in range(0, len(entries) - 11, 12)}
+        return "dng" if 50706 in tags else None
+    return "xisf" if start[:8] == b"XISF0100" or re.search(rb"<(?:[A-Za-z_][\w.-]*:)?xisf[\s>/]", start) else None
 
 
 def save(files: DataFrame, directory: str) -> DataFrame:
@@ -55,3 +103,13 @@ def save(files: DataFrame, directory: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], ["path", "bytes"])
 
     return files.select("path", "content").mapInArrow(run, "path string, bytes bigint")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share; only where none is named and all is one machine (tests), one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = "file:/tmp/checkpoints/starloom-files"
+    return found.rstrip("/")
