@@ -28,8 +28,8 @@ def predicted(rows: np.ndarray, channels: int) -> tuple[int, bytes]:
     return 1, rows.tobytes()
 
 
-def encode(samples: np.ndarray, sample_format: str) -> bytes:
-    """A one-page file of (channels, height, width)."""
+def _page(samples: np.ndarray, sample_format: str, big: bool) -> tuple[list, list[bytes]]:
+    """(tags, strips) of a page of (channels, height, width)."""
     kind, form = KINDS[sample_format]
     c, h, w = samples.shape
     rows = np.ascontiguousarray(samples.astype(kind).transpose(1, 2, 0).reshape(h, w * c))
@@ -38,34 +38,55 @@ def encode(samples: np.ndarray, sample_format: str) -> bytes:
     for y in range(0, h, per):
         predictor, data = predicted(rows[y : y + per], c)
         strips.append(zlib.compress(data))
-    bits = 8 * rows.dtype.itemsize
     colour = 2 if c >= 3 else 1
     extra = c - (3 if colour == 2 else 1)
-    # Tags of the format: tag, type (3 short, 4 long), values.
-    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [bits] * c), (259, 3, [8]), (262, 3, [colour]), (273, 4, None), (277, 3, [c]), (278, 4, [per]), (279, 4, [len(s) for s in strips]), (284, 3, [1]), (317, 3, [predictor])]
+    long = 16 if big else 4
+    # Tags of the format: tag, type (3 short, 4 long, 16 long of eight bytes), values.
+    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [8 * rows.dtype.itemsize] * c), (259, 3, [8]), (262, 3, [colour]), (273, long, [0] * len(strips)), (277, 3, [c]), (278, 4, [per]), (279, long, [len(s) for s in strips]), (284, 3, [1]), (317, 3, [predictor])]
     tags += [(338, 3, [0] * extra)] if extra else []
-    tags += [(339, 3, [form] * c)]
-    tags[5] = (273, 4, [0] * len(strips))
-    end = 8 + 2 + 12 * len(tags) + 4
-    placed, at = {}, end
-    for tag, kind_, values in tags:
-        size = len(values) * (2 if kind_ == 3 else 4)
-        if size > 4:
-            placed[tag], at = at, at + size + size % 2
-    offsets = []
-    for s in strips:
-        offsets.append(at)
-        at += len(s) + len(s) % 2
-    out, tail = struct.pack("<2sHIH", b"II", 42, 8, len(tags)), b""
-    for tag, kind_, values in tags:
-        values = offsets if tag == 273 else values
-        packed = struct.pack(f"<{len(values)}{'H' if kind_ == 3 else 'I'}", *values)
-        if tag in placed:
-            out += struct.pack("<HHII", tag, kind_, len(values), placed[tag])
-            tail += packed + b"\0" * (len(packed) % 2)
-        else:
-            out += struct.pack("<HHI", tag, kind_, len(values)) + packed.ljust(4, b"\0")
-    return out + b"\0\0\0\0" + tail + b"".join(s + b"\0" * (len(s) % 2) for s in strips)
+    return [*tags, (339, 3, [form] * c)], strips
+
+
+def encode(samples: np.ndarray, sample_format: str) -> bytes:
+    """A one-page file of (channels, height, width)."""
+    return encode_pages([{"samples": samples, "sample_format": sample_format}])
+
+
+def encode_pages(images: list[dict], big: bool | None = None) -> bytes:
+    """A page an image (samples, sample_format), a page a plane where planes are neither gray nor colour; BigTIFF where 4 GiB could be passed."""
+    planes = []
+    for image in images:
+        whole = image["samples"]
+        planes += [(p, image["sample_format"]) for p in ([whole] if len(whole) in (1, 2, 3, 4) else whole[:, None])]
+    if big is None:
+        big = sum(p.size * np.dtype(KINDS[f][0]).itemsize for p, f in planes) > (1 << 32) - (1 << 24)
+    sizes, word, entry = {3: 2, 4: 4, 16: 8}, "Q" if big else "I", 20 if big else 12
+    codes = {3: "H", 4: "I", 16: "Q"}
+    out = bytearray(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16) if big else struct.pack("<2sHI", b"II", 42, 8))
+    for k, (samples, form) in enumerate(planes):
+        tags, strips = _page(samples, form, big)
+        start = len(out)
+        at = start + (8 if big else 2) + entry * len(tags) + (8 if big else 4)
+        placed, offsets = {}, []
+        for tag, kind, values in tags:
+            size = len(values) * sizes[kind]
+            if size > (8 if big else 4):
+                placed[tag], at = at, at + size + size % 2
+        for s in strips:
+            offsets.append(at)
+            at += len(s) + len(s) % 2
+        body, tail = struct.pack("<Q" if big else "<H", len(tags)), b""
+        for tag, kind, values in tags:
+            packed = struct.pack(f"<{len(values)}{codes[kind]}", *(offsets if tag == 273 else values))
+            body += struct.pack("<HH" + word, tag, kind, len(values))
+            if tag in placed:
+                body += struct.pack("<" + word, placed[tag])
+                tail += packed + b"\0" * (len(packed) % 2)
+            else:
+                body += packed.ljust(8 if big else 4, b"\0")
+        body += struct.pack("<" + word, at if k + 1 < len(planes) else 0)
+        out += body + tail + b"".join(s + b"\0" * (len(s) % 2) for s in strips)
+    return bytes(out)
 
 
 def files(band_rows: DataFrame, sample_format: str) -> DataFrame:

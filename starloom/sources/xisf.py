@@ -191,9 +191,9 @@ def _images(root: ET.Element) -> list[ET.Element]:
     return [e for e in root.iter() if _tag(e) == "Image"]
 
 
-def _over_files(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
+def _over_files(spark: SparkSession, path: str, read, schema: str, endings: tuple[str, ...] = (".xisf", ".xish")) -> DataFrame:
     """A task a file: ``read(uri)`` yields the rows."""
-    paths = listing(path, (".xisf", ".xish"))
+    paths = listing(path, endings)
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -516,14 +516,15 @@ def rewritten(uri: str, codec: str | None = "zstd", level: int | None = None, sh
         data = stored(uri, e)
         if checked(e, data) is False:
             raise ValueError(f"checksum mismatch in {e.get('id') or _tag(e)}")
-        if level is None and stored_as_requested(e, codec, shuffle if codec else None, subblocks, checksum):
+        of = element_type(e.get("type", ""))
+        item = np.dtype(KINDS[e.get("sampleFormat")]).itemsize if e.get("sampleFormat") else np.dtype(of[0]).itemsize if of else item_size(e.get("type", ""))
+        if level is None and stored_as_requested(e, codec, shuffle and item > 1 if codec else None, subblocks, checksum):
             done["kept"] += 1
             attached.append((e, data))
             continue
+        own = e.get("checksum", "").partition(":")[0]
         raw = unpacked(e, data)
-        of = element_type(e.get("type", ""))
-        item = np.dtype(KINDS[e.get("sampleFormat")]).itemsize if e.get("sampleFormat") else np.dtype(of[0]).itemsize if of else item_size(e.get("type", ""))
-        packed, said = _pack(raw, item if shuffle else 1, codec, level, subblocks, checksum)
+        packed, said = _pack(raw, item if shuffle else 1, codec, level, subblocks, (own if own in HASHES else None) if checksum == "keep" else checksum)
         done["decompressed"] += bool(e.get("compression")) and "compression" not in said
         done["compressed"] += "compression" in said
         done["checksums"] += "checksum" in said
