@@ -116,11 +116,11 @@ def debayer_rows(rows: DataFrame, keys: list[str], pattern: Column | str = "RGGB
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     order = W.partitionBy(*keys).orderBy("y")
-    near = rows.select(*keys, "y", "values", F.lag("values").over(order).alias("up"), F.lead("values").over(order).alias("down"), pattern.alias("cfa"))
+    near = rows.select(*keys, "y", "values", F.lag("values").over(order).alias("up"), F.lead("values").over(order).alias("down"), pattern.alias("_pattern"))
     width = F.size("values")
 
     def colour(c: str) -> Column:
-        at = lambda dy, x: F.substring(F.col("cfa"), F.pmod(F.col("y") + dy, F.lit(2)).cast("int") * 2 + F.pmod(x, F.lit(2)).cast("int") + 1, F.lit(1)) == c
+        at = lambda dy, x: F.substring(F.col("_pattern"), F.pmod(F.col("y") + dy, F.lit(2)).cast("int") * 2 + F.pmod(x, F.lit(2)).cast("int") + 1, F.lit(1)) == c
 
         def one(x: Column) -> Column:
             terms = []

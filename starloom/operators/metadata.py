@@ -40,12 +40,18 @@ def fits_unquote(value: Column) -> Column:
 
 
 def derive_keywords(properties: DataFrame, keywords: DataFrame, key: str) -> DataFrame:
-    """(key, name, value) made from ``properties(key, id, text)`` where ``keywords(key, name)`` has none of that name."""
+    """(key, name, value) made from ``properties(key, id, text)`` where ``keywords(key, name)`` has none of that name.
+
+    Numbers are scaled; the start of an observation becomes DATE-OBS if it is a
+    point in time at no offset.
+    """
     spark = properties.sparkSession
-    rules = spark.createDataFrame(DERIVED, "id string, name string, numeric boolean, scale double")  # ten rows
+    rules = spark.createDataFrame([*DERIVED, ("Observation:Time:Start", "DATE-OBS", False, 1.0)], "id string, name string, numeric boolean, scale double")  # eleven rows
     made = properties.join(F.broadcast(rules), "id").filter("trim(text) <> ''")
     number = F.col("text").try_cast("double")
-    value = F.when(F.col("numeric"), (number * F.col("scale")).cast("string")).otherwise(fits_string(F.trim("text")))
+    date = F.regexp_extract(F.trim("text"), r"^([+-]?\d{4,}-\d\d-\d\d(T\d\d:\d\d:\d\d(\.\d+)?)?)(Z|[+-]00(:?00)?)?$", 1)
+    text = F.when(F.col("name") != "DATE-OBS", F.trim("text")).otherwise(F.nullif(date, F.lit("")))
+    value = F.when(F.col("numeric"), (number * F.col("scale")).cast("string")).otherwise(fits_string(text))
     return made.select(key, "name", value.alias("value")).filter("value is not null").join(keywords.select(key, "name"), [key, "name"], "left_anti")
 
 
@@ -146,21 +152,52 @@ def flip_pattern(pattern: Column, width: int, height: int, image_height: Column)
     return F.concat(*rows)
 
 
+def row_number_text(x: Column) -> Column:
+    """A pixel position as text: nine decimals at most, one at least."""
+    return F.round(x, 9).cast("string")
+
+
 def flip_wcs(cards: DataFrame, key: str, height: Column) -> DataFrame:
-    """``cards(key, name, value)`` of a linear solution for rows in the other order.
+    """``cards(key, name, value)`` of solutions for rows in the other order; alternates A to Z each by themselves.
 
-    The reference row is counted from the other end; the second column of the CD
-    or PC matrix, or where there is neither CDELT2, changes sign in its text.
+    The reference row is counted from the other end, and one that is missing is
+    row 0 and comes in; the second column of the CD or PC matrix, or where there
+    is neither CDELT2, changes sign in its text; so do the distortion terms of
+    x with odd powers of y and those of y with even ones.
     """
-    base = F.regexp_replace("name", "[A-Z]$", "")
-    alternate = F.regexp_extract("name", "([A-Z])$", 1)
-    matrix = F.col("name").rlike("^(CD|PC)[12]_[12][A-Z]?$")
-    has = cards.filter(matrix).groupBy(key, alternate.alias("_alt")).agg(F.lit(True).alias("_has"))
-    rows = cards.withColumn("_alt", alternate).join(has, [key, "_alt"], "left")
-    negated = F.when(F.trim("value").startswith("-"), F.substring(F.trim("value"), 2, 100)).otherwise(F.concat(F.lit("-"), F.regexp_replace(F.trim("value"), r"^\+", "")))
-    turned = F.when(F.col("name").rlike("^(CD|PC)[12]_2[A-Z]?$") | ((base == "CDELT2") & F.col("_has").isNull()), negated)
-    number = (height + 1 - F.col("value").try_cast("double")).cast("decimal(18,3)").cast("string")
-    return rows.select(key, "name", F.when(base == "CRPIX2", number).otherwise(F.coalesce(turned, F.col("value"))).alias("value"))
+    n = F.upper(F.trim("name"))
+    base, alternate = F.regexp_replace(n, "(?<=[0-9])[A-Z]$", ""), F.regexp_extract(n, "(?<=[0-9])([A-Z])$", 1)
+    rows = cards.withColumn("_n", n).withColumn("_base", base).withColumn("_alt", alternate)
+    own = F.col("_base").rlike("^(CD|PC)[1-9]_[1-9]$|^PC00[12]00[12]$")
+    has = rows.groupBy(key, "_alt").agg(F.coalesce(F.bool_or(own), F.lit(False)).alias("_has"), F.coalesce(F.bool_or(F.col("_base") == "CRPIX2"), F.lit(False)).alias("_row"), F.coalesce(F.bool_or(F.col("_base") == "CTYPE1"), F.lit(False)).alias("_type"), F.max(height).alias("_height"))
+    rows = rows.join(has.select(key, "_alt", "_has"), [key, "_alt"])
+    text = F.trim("value")
+    plain = F.translate(text, "Dd", "EE").try_cast("double")
+    negated = F.when(plain == 0, F.col("value")).when(text.startswith("-"), F.substring(text, 2, 100)).otherwise(F.concat(F.lit("-"), F.regexp_replace(text, r"^\+", "")))
+    power = F.regexp_extract(F.col("_n"), r"^[AB]P?_[0-9]+_([0-9]+)$", 1).try_cast("int")
+    distorted = power.isNotNull() & ((F.pmod(power, F.lit(2)) == 1) != F.col("_n").startswith("B"))
+    turned = F.when(F.col("_base").rlike("^(CD|PC)[12]_2$|^PC00[12]002$") | ((F.col("_base") == "CDELT2") & ~F.col("_has")) | distorted, negated)
+    moved = F.when(F.col("_base") == "CRPIX2", row_number_text(height + 1 - plain))
+    out = rows.select(key, "name", F.coalesce(F.when(plain.isNotNull(), F.coalesce(moved, turned)), F.col("value")).alias("value"))
+    missing = has.filter(~F.col("_row") & F.col("_type")).select(key, F.concat(F.lit("CRPIX2"), F.col("_alt")).alias("name"), row_number_text((F.col("_height") + 1).cast("double")).alias("value"))
+    return out.unionByName(missing)
+
+
+#: Properties that describe how an image was stored, not what it shows.
+STORAGE = ("XISF:CompressionCodecs", "XISF:CompressionLevel", "XISF:BlockAlignmentSize", "XISF:MaxInlineBlockSize", "XISF:CreatorApplication", "XISF:CreatorModule", "XISF:CreatorOS", "XISF:CreationTime")
+
+
+def carried_properties(properties: DataFrame) -> DataFrame:
+    """``properties(id, type, block, problem...)`` that go along into another format: no storage facts, nothing unread."""
+    return properties.filter(~F.col("id").isin(*STORAGE) & F.col("problem").isNull())
+
+
+def resolved_pattern(cfa: Column, bayer: Column, x_offset: Column, y_offset: Column) -> Column:
+    """A 2x2 mosaic pattern: the image's own, else the keyword's, shifted by its offsets; null if it has not all three colours."""
+    dx, dy = (F.pmod(F.coalesce(o.cast("int"), F.lit(0)), F.lit(2)) for o in (x_offset, y_offset))
+    moved = F.concat(*(F.substring(bayer, ((F.pmod(dy + y, F.lit(2)) * 2 + F.pmod(dx + x, F.lit(2))) + 1).cast("int"), F.lit(1)) for y in (0, 1) for x in (0, 1)))
+    found = F.coalesce(cfa, F.when(bayer.rlike("^[RGB]{4}$"), moved))
+    return F.when(found.rlike("^[RGB]{4}$") & found.contains("R") & found.contains("G") & found.contains("B"), found)
 
 
 def unique_identifiers(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:

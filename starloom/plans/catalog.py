@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from starloom.functions import pixels
 from starloom.operators import images as im
 from starloom.operators import metadata as md
+from starloom.plans import file_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -35,11 +36,11 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | file_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | file_queries.SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -506,7 +507,8 @@ def wcs_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, nation = _table(spark, sf_dir, "customer"), F.col("c_nationkey").cast("string")
     made = [("CRPIX2", (F.col("c_custkey") % 50).cast("string")), ("CD1_2", nation), ("CD2_2", F.concat(F.lit("-"), nation)), ("CDELT2", F.lit("1"))]
     cards = c.select("c_custkey", F.inline(F.array(*(F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in made))))
-    return md.flip_wcs(cards, "c_custkey", F.lit(100))
+    turned = md.flip_wcs(cards, "c_custkey", F.lit(100))
+    return turned.withColumn("value", F.when(F.col("name") == "CRPIX2", F.col("value").cast("decimal(18,3)").cast("string")).otherwise(F.col("value")))
 
 
 @_query("SELECT c_custkey, c_mktsegment, 'x' || CASE WHEN r = 1 THEN '' ELSE '_' || r END AS id FROM (SELECT c_custkey, c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS r FROM customer)")

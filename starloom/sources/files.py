@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import struct
 import uuid
@@ -113,3 +114,16 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file:/tmp/checkpoints/starloom-files"
     return found.rstrip("/")
+
+
+def workspace(spark: SparkSession, label: str) -> str:
+    """A fresh folder in the shared one, deleted when the driver ends."""
+    folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def close() -> None:
+        system, path = place(folder)
+        if system.get_file_info(path).type == fs.FileType.Directory:
+            system.delete_dir(path)
+
+    atexit.register(close)
+    return folder

@@ -14,8 +14,9 @@ def convert_new(spark: SparkSession, folder: str, directory: str, options: Optio
     arrivals = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", f"*{ending}").load(folder).select("path")
 
     def batch(rows: DataFrame, _: int) -> None:
-        for row in rows.select("path").distinct().toLocalIterator():  # names only; the work is in tasks
-            convert_to(spark, row["path"], directory, options).count()
+        paths = [r["path"] for r in rows.select("path").distinct().collect()]  # names only; the work is one plan
+        if paths:
+            convert_to(spark, "\n".join(sorted(paths)), directory, options).count()
 
     return arrivals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
