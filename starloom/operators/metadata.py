@@ -163,7 +163,8 @@ def flip_wcs(cards: DataFrame, key: str, height: Column) -> DataFrame:
     The reference row is counted from the other end, and one that is missing is
     row 0 and comes in; the second column of the CD or PC matrix, or where there
     is neither CDELT2, changes sign in its text; so do the distortion terms of
-    x with odd powers of y and those of y with even ones.
+    x with odd powers of y and those of y with even ones. A zero changes its
+    sign like any other number.
     """
     n = F.upper(F.trim("name"))
     base, alternate = F.regexp_replace(n, "(?<=[0-9])[A-Z]$", ""), F.regexp_extract(n, "(?<=[0-9])([A-Z])$", 1)
@@ -173,7 +174,7 @@ def flip_wcs(cards: DataFrame, key: str, height: Column) -> DataFrame:
     rows = rows.join(has.select(key, "_alt", "_has"), [key, "_alt"])
     text = F.trim("value")
     plain = F.translate(text, "Dd", "EE").try_cast("double")
-    negated = F.when(plain == 0, F.col("value")).when(text.startswith("-"), F.substring(text, 2, 100)).otherwise(F.concat(F.lit("-"), F.regexp_replace(text, r"^\+", "")))
+    negated = F.when(text.startswith("-"), F.substring(text, 2, 100)).otherwise(F.concat(F.lit("-"), F.regexp_replace(text, r"^\+", "")))
     power = F.regexp_extract(F.col("_n"), r"^[AB]P?_[0-9]+_([0-9]+)$", 1).try_cast("int")
     distorted = power.isNotNull() & ((F.pmod(power, F.lit(2)) == 1) != F.col("_n").startswith("B"))
     turned = F.when(F.col("_base").rlike("^(CD|PC)[12]_2$|^PC00[12]002$") | ((F.col("_base") == "CDELT2") & ~F.col("_has")) | distorted, negated)
