@@ -50,15 +50,14 @@ def components(ws: Workspace, edges: DataFrame, label: str) -> DataFrame:
         # Large star: every larger neighbour of u is hung on u's smallest neighbour.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        least = ws.save(least, f"{label}-least")
         large = ws.save(_attach(both.filter("v > u"), least, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{label}-large")
         # Small star: u and its smaller neighbours are hung on the smallest of them.
-        low = ws.save(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{label}-low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         hung = _attach(large, low, before[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt, old = f"{label}-{step}", name
         e = ws.save(low.select("u", F.col("m").alias("v")).union(hung).distinct(), nxt)
         name, now = nxt, _state(e)
-        ws.drop(old, f"{label}-least", f"{label}-large", f"{label}-low")
+        ws.drop(old, f"{label}-large")
         if now == before:
             break
         before = now
