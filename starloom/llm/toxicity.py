@@ -224,7 +224,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = [F.xxhash64("id", F.lit("toxicity")), "id"]
     picked = known.filter("y = 1").orderBy(*order).limit(rows).union(known.filter("y = 0").orderBy(*order).limit(rows))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).filter("text is not null")
-    found = own.join(F.broadcast(picked), "id").repartition(1)  # bounded by 2 * rows
+    # One text an id, the least, so that repeated ids cannot pass the bound of 2 * rows.
+    found = own.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y").repartition(1)
     total = sum(count.values())
     share = min(max(count.get(1, 0) / total, 1e-3), 1 - 1e-3) if total else None
 
