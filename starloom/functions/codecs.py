@@ -279,4 +279,7 @@ def round_trips(blocks: DataFrame) -> DataFrame:
                     rows.append((key, len(data), *(w == data for w in whole), np.array_equal(head, back), hashlib.sha1(whole[0], usedforsecurity=False).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
 
-    return blocks.mapInArrow(run, "doc_id bigint, n bigint, zlib_ok boolean, zstd_ok boolean, shuffle_ok boolean, rice_ok boolean, sha1 string")
+    # Packing costs far more than moving: a table of fewer pieces than cores is dealt out first.
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    spread = blocks if blocks.rdd.getNumPartitions() >= cores else blocks.repartition(cores)
+    return spread.mapInArrow(run, "doc_id bigint, n bigint, zlib_ok boolean, zstd_ok boolean, shuffle_ok boolean, rice_ok boolean, sha1 string")

@@ -162,6 +162,25 @@ class _Piece(InputPartition):
         self.path, self.image, self.channel, self.first, self.count, self.facts = path, image, channel, first, count, facts
 
 
+class _Pieces(InputPartition):
+    """Pieces that are small together: one task reads many small images."""
+
+    def __init__(self, pieces: list[_Piece]):
+        self.pieces = pieces
+
+
+def grouped(pieces: list[_Piece]) -> list[InputPartition]:
+    out, size = [], PIECE
+    for p in pieces:
+        samples = p.count * p.facts["width"]
+        if size + samples > PIECE or len(out[-1].pieces) >= 256:
+            out.append(_Pieces([]))
+            size = 0
+        out[-1].pieces.append(p)
+        size += samples
+    return out
+
+
 class _Wanted:
     """What filters leave of each column, as tests of single values; Spark applies the filters again."""
 
@@ -192,7 +211,7 @@ class _Reader(DataSourceReader):
         paths = [p for p in self.paths if self.wanted.allows(path=p)]
         if self.table != "bands":
             return [_Piece(p) for p in paths]
-        out: list[InputPartition] = []
+        out: list[_Piece] = []
         with ThreadPoolExecutor(32) as pool:
             for path, found in zip(paths, pool.map(images, paths), strict=True):
                 for u in found:
@@ -201,10 +220,13 @@ class _Reader(DataSourceReader):
                     rows, wanted = max(1, PIECE // u["width"]), self.wanted.rows(u["height"])
                     facts = {k: u[k] for k in ("width", "height", "channels", "bits", "offset", "bzero", "bscale", "tiled", "table", "axes")}
                     out += [_Piece(path, u["image"], c, y, min(rows, wanted.stop - y), facts) for c in range(u["channels"]) if self.wanted.allows(channel=c) for y in range(wanted.start, wanted.stop, rows)]
-        return out
+        return grouped(out)
 
-    def read(self, piece: _Piece) -> Iterator[tuple | pa.RecordBatch]:
-        if self.table == "images":
+    def read(self, piece: _Piece | _Pieces) -> Iterator[tuple | pa.RecordBatch]:
+        if isinstance(piece, _Pieces):
+            for one in piece.pieces:
+                yield from self.read(one)
+        elif self.table == "images":
             for u in images(piece.path):
                 yield piece.path, u["image"], u["name"], u["width"], u["height"], u["channels"], u["bits"], u["bzero"], u["bscale"], u["offset"]
         elif self.table == "keywords":
