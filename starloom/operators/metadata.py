@@ -184,8 +184,8 @@ def flip_wcs(cards: DataFrame, key: str, height: Column) -> DataFrame:
     return out.unionByName(missing)
 
 
-#: Properties that describe how an image was stored, not what it shows.
-STORAGE = ("XISF:CompressionCodecs", "XISF:CompressionLevel", "XISF:BlockAlignmentSize", "XISF:MaxInlineBlockSize", "XISF:CreatorApplication", "XISF:CreatorModule", "XISF:CreatorOS", "XISF:CreationTime")
+# Properties that describe how an image was stored, not what it shows.
+STORAGE = ("XISF:CreationTime", "XISF:CreatorApplication", "XISF:CreatorModule", "XISF:CreatorOS", "XISF:BlockAlignmentSize", "XISF:MaxInlineBlockSize", "XISF:CompressionCodecs", "XISF:CompressionLevel")
 
 
 def carried_properties(properties: DataFrame) -> DataFrame:
