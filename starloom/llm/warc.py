@@ -27,6 +27,8 @@ SPLIT, CHUNK, RANGES = 8 << 20, 1 << 18, 64
 #: Payloads from this size on are written once.
 REVISIT_BYTES = 1000
 MAGIC = b"\x1f\x8b\x08"
+#: Bytes inflated at a time: what lies behind a member's end is handed back, and so copied.
+PIECE = 1 << 14
 #: Names that Spark has for stores which Arrow knows by another.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 FIRST = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
@@ -159,7 +161,7 @@ def _member(window: _Window) -> tuple[dict[str, str], _Payload] | None:
         if not window.left() and not window.more():
             window.seek(begin)
             return None
-        piece = window.held[window.begin : window.begin + CHUNK]
+        piece = memoryview(window.held)[window.begin : window.begin + PIECE]
         try:
             data = unpack.decompress(piece)
         except zlib.error:
