@@ -26,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import Workspace, small
+from starloom.llm.common import Workspace, arrow_rows, small
 from starloom.llm.graph import components
 
 SLOTS, BAND_ROWS = 128, 4
 #: About as many sets, and their elements, make a block.
-BLOCK_SETS, BLOCK_ELEMENTS = 192, 2_000_000
-#: Elements worked on at a time, and remembered words of a task: bounds on memory only.
-CHUNK, VOCABULARY = 1 << 15, 1 << 17
+BLOCK_SETS, BLOCK_ELEMENTS = 192, 1_000_000
+#: Elements worked on at a time, remembered words of a task, texts of a batch: bounds on memory only.
+CHUNK, VOCABULARY, BATCH_ROWS = 1 << 15, 1 << 17, 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -143,17 +143,19 @@ def sketch(docs: DataFrame, text: str, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            texts, start = _binary(batch.column(batch.schema.get_field_index(text))), 0
+            texts, start = batch.column(batch.schema.get_field_index(text)), 0
             while start < len(texts):
-                sets, size, end = [], 0, start
+                sets, size, end, digests = [], 0, start, []
                 while end < len(texts) and size < CHUNK:
-                    sets.append(shingle_set(texts[end], width, words))
+                    one = _binary(texts.slice(end, 1))[0]
+                    sets.append(shingle_set(one, width, words))
+                    digests.append(md5(one or b"", usedforsecurity=False).digest())
                     size += len(sets[-1])
                     end += 1
                 keys_of = band_keys(signatures(sets))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys_of.size + 1, keys_of.shape[1]), pa.int32()), pa.array(keys_of.reshape(-1)))
                 rows = [batch.column(batch.schema.get_field_index(c)).slice(start, end - start) for c in keys]
-                rows += [pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([md5(t or b"", usedforsecurity=False).digest() for t in texts[start:end]], pa.binary()), bands]
+                rows += [pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(digests, pa.binary()), bands]
                 yield pa.RecordBatch.from_arrays(rows, [*keys, "n_shingles", "cls", "text_digest", "bands"])
                 start = end
 
@@ -166,9 +168,9 @@ def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            texts, nodes = _binary(batch.column(1)), batch.column(0)
+            texts, nodes = batch.column(1), batch.column(0)
             for at in range(0, len(texts), 64):
-                sets = [shingle_set(t, width, words).view(np.int64) for t in texts[at : at + 64]]
+                sets = [shingle_set(t, width, words).view(np.int64) for t in _binary(texts.slice(at, 64))]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 members = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([nodes.slice(at, len(sets)), members], ["node", "members"])
@@ -192,7 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = ws.save(sketch(base, "text", width), "rows")
+    with arrow_rows(spark, BATCH_ROWS):
+        rows = ws.save(sketch(base, "text", width), "rows")
     full = rows.filter("n_shingles > 0")
     classes = full.groupBy("cls").agg(F.min("id").alias("least_id"), F.first("n_shingles").alias("n"), F.min("text_digest").alias("text_digest"), F.first("bands").alias("bands"))
     classes = ws.save(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
@@ -235,7 +238,8 @@ def _full_sets(ws: Workspace, base: DataFrame, rows: DataFrame, classes: DataFra
     # A row's id finds its text; where ids repeat, the digest decides.
     found = base.join(small(texts.select(F.col("rid"), "node", "text_digest")), base.id.eqNullSafe(F.col("rid"))).select("node", "text", "text_digest")
     found = found.filter(F.unhex(F.md5(F.col("text"))) == F.col("text_digest")).select("node", "text")
-    sets = ws.save(_sets(found, "text", width).groupBy("node").agg(F.first("members").alias("members")), f"{label}-sets")
+    with arrow_rows(base.sparkSession, BATCH_ROWS):
+        sets = ws.save(_sets(found, "text", width).groupBy("node").agg(F.first("members").alias("members")), f"{label}-sets")
     ws.drop(f"{label}-wanted", f"{label}-texts")
     return sets
 

@@ -258,8 +258,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margins = held.value.margins()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_binary())
-            x = np.array([features(margins, _words(t.as_py())) for t in texts]).reshape(len(texts), 2 * TOP + 2)
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            parts = (texts.slice(at, 64).cast(pa.large_binary()).to_pylist() for at in range(0, len(texts), 64))
+            x = np.array([features(margins, _words(t)) for part in parts for t in part]).reshape(len(texts), 2 * TOP + 2)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.scores(x))], [*columns, name])
 
     return docs.mapInArrow(run, schema)
